@@ -106,10 +106,10 @@ def written_back(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 # ======================================================================== 2.1 sources
 def _batches_dir(spark, d):
-    path = scratch_path(spark, "batches")
-    raw = fx.raw_steps(spark, d, with_source=False).withColumnRenamed("l_number", B.INDEX_COLUMN)
-    SK.write_batches(raw, path)
-    return path
+    def write(path):
+        raw = R.raw(spark, d).select(*fx.RAW_COLUMNS, "source_filename")
+        SK.write_batches(raw.withColumnRenamed("l_number", B.INDEX_COLUMN), path)
+    return R.stored_folder(spark, d, "batches", write)
 
 
 @query("load_batches", with_ctes("raw") + f"SELECT {cols(RAW_COLS)} FROM raw")
@@ -912,12 +912,12 @@ def q_point_from_lonlat(spark, d):
 # ======================================================================== 2.8 composites
 @query("clean_legs", with_ctes("legs") + f"SELECT {cols(LEG_COLUMNS)} FROM legs")
 def q_clean_legs(spark, d):
-    return R.legs(spark, d)
+    return L.clean_legs(R.raw(spark, d))
 
 
 @query("build_trips", with_ctes("trips") + "SELECT * FROM trips")
 def q_build_trips(spark, d):
-    return R.trips(spark, d)
+    return T.build_trips(R.legs(spark, d))
 
 
 @query("process_schools", with_ctes("schools") + f"SELECT {cols(SCHOOL_COLS)} FROM sch")

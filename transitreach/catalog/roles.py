@@ -1,11 +1,14 @@
 """Role tables built with the library from the driver tables, plus parameter presets.
 
-Nothing here is cached between queries: each registered query builds the lazy
-plan it needs, and Catalyst prunes what that query does not read.
+The raw rows and the ETL outputs (legs, trips) are written once per session
+and input folder, as the real pipeline stores them; every other role table is a
+lazy plan that Catalyst prunes to what the query reads.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,9 @@ from ..operators.legs import clean_legs, parse_leg_rows
 from ..operators.schools import process_schools
 from ..operators.trips import build_trips, enrolment_join
 from ..params import AccessParams
+from ..plans.etl import write_table
 from ..plans.serve import Tables
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import fixtures as fx
 
 # ---- Fixed values: the parameter snapshots the registered queries run with ----
@@ -26,8 +31,45 @@ P_CENSUS = AccessParams(concept="BUILDING", variable="v1", use_percent=True, use
 P_EMPTY = AccessParams(degree_types=())
 
 
+# Written role tables, one set per (application, checkpoint folder, input folder).
+_STORED: dict = {}
+
+
+def _stored(spark: SparkSession, d: str, name: str, build, partition_by=None,
+            sort_within=None) -> DataFrame:
+    """Build a role table once, write it to the shared checkpoint folder, read it back.
+
+    The raw rows stand for the batch files on storage, and legs and trips for
+    the ETL's snapshot (the dashboard loads tables, it does not re-run the ETL
+    per click).  Writing cuts the lineage: a lost executor re-reads Parquet
+    instead of re-deriving the text rows.
+    """
+    key = (spark.sparkContext.applicationId, ensure_checkpoint_dir(spark),
+           os.path.abspath(d), name)
+    hit = _STORED.get(key)
+    if hit is None:
+        df = build()
+        path = write_table(df, scratch_path(spark, name), partition_by=partition_by,
+                           sort_within=sort_within)
+        hit = _STORED[key] = (path, list(df.columns))
+    path, columns = hit
+    return spark.read.parquet(path).select(*columns)
+
+
+def stored_folder(spark: SparkSession, d: str, name: str, write) -> str:
+    """A folder written once per session and input folder by ``write(path)``."""
+    key = (spark.sparkContext.applicationId, ensure_checkpoint_dir(spark),
+           os.path.abspath(d), name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def raw(spark: SparkSession, d: str) -> DataFrame:
-    return fx.raw_steps(spark, d)
+    """The stacked batch rows (all text), as the fetcher stored them."""
+    return _stored(spark, d, "raw", lambda: fx.raw_steps(spark, d))
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -35,11 +77,14 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legs(spark: SparkSession, d: str) -> DataFrame:
-    return clean_legs(raw(spark, d))
+    """The ETL's legs table (``clean_legs`` of the raw rows), partitioned by run."""
+    return _stored(spark, d, "legs", lambda: clean_legs(raw(spark, d)), partition_by=["run"])
 
 
 def trips(spark: SparkSession, d: str) -> DataFrame:
-    return build_trips(legs(spark, d))
+    """The ETL's trips table (``build_trips`` of the legs)."""
+    return _stored(spark, d, "trips", lambda: build_trips(legs(spark, d)), partition_by=["run"],
+                   sort_within=["t_time"])
 
 
 def schools(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +92,9 @@ def schools(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trips_full(spark: SparkSession, d: str) -> DataFrame:
-    return enrolment_join(trips(spark, d), schools(spark, d))
+    """Trips with the destination's enrolment, as the dashboard loads them."""
+    return _stored(spark, d, "trips_full", lambda: enrolment_join(trips(spark, d), schools(spark, d)),
+                   partition_by=["run"], sort_within=["t_time"])
 
 
 def areas(spark: SparkSession, d: str, geometry: bool = False) -> DataFrame:
@@ -59,10 +106,8 @@ def acs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, d: str, geometry: bool = False) -> Tables:
-    lg = legs(spark, d)
-    sc = schools(spark, d)
-    return Tables(schools=sc, areas=areas(spark, d, geometry), acs=acs(spark, d),
-                  trips=enrolment_join(build_trips(lg), sc), legs=lg,
+    return Tables(schools=schools(spark, d), areas=areas(spark, d, geometry), acs=acs(spark, d),
+                  trips=trips_full(spark, d), legs=legs(spark, d),
                   leg_colors=fx.leg_colors(spark, d), agency_colors=fx.agency_colors(spark, d))
 
 
