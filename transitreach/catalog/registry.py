@@ -105,7 +105,8 @@ def written_back(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 # ======================================================================== 2.1 sources
-def _batches_dir(spark, d):
+def batch_folder(spark, d):
+    """The raw rows written as the fetcher's batch CSV files (once per session)."""
     def write(path):
         raw = R.raw(spark, d).select(*fx.RAW_COLUMNS, "source_filename")
         SK.write_batches(raw.withColumnRenamed("l_number", B.INDEX_COLUMN), path)
@@ -114,21 +115,21 @@ def _batches_dir(spark, d):
 
 @query("load_batches", with_ctes("raw") + f"SELECT {cols(RAW_COLS)} FROM raw")
 def q_load_batches(spark, d):
-    return B.load_batches(spark, _batches_dir(spark, d)).select(*RAW_COLS)
+    return B.load_batches(spark, batch_folder(spark, d)).select(*RAW_COLS)
 
 
 @query("file_metadata", with_ctes("raw") +
        "SELECT DISTINCT source_filename, source_run, source_apik, source_start_index, source_end_index, "
        "source_coverage FROM raw")
 def q_file_metadata(spark, d):
-    return B.load_batches(spark, _batches_dir(spark, d)).select(
+    return B.load_batches(spark, batch_folder(spark, d)).select(
         "source_filename", "source_run", "source_apik", "source_start_index", "source_end_index",
         "source_coverage").distinct()
 
 
 @query("rename_index", with_ctes("raw") + "SELECT l_number, COUNT(*) AS count FROM raw GROUP BY l_number")
 def q_rename_index(spark, d):
-    return B.load_batches(spark, _batches_dir(spark, d)).groupBy("l_number").agg(
+    return B.load_batches(spark, batch_folder(spark, d)).groupBy("l_number").agg(
         F.count(F.lit(1)).alias("count"))
 
 

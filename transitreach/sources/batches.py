@@ -23,7 +23,7 @@ from ..functions.columns import try_cast
 
 # ---- Fixed values: batch file name pattern and CSV conventions of the fetcher ----
 BATCH_NAME = r"(.*)_(.*)_(.*)-(.*)\.csv"
-BATCH_FILE = r"([^/=]+\.csv)(/[^/]*)?$"      # a flat file, or a Spark output folder named *.csv
+BATCH_GROUPS = r"^(.*)_([^_]*)_([^_]*)-([^-]*)\.csv"   # same groups as BATCH_NAME's first match
 NULL_TEXT = "NA"
 INDEX_COLUMN = "_c0"                           # the unnamed index column
 
@@ -73,10 +73,24 @@ def list_batch_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(f for f in probe.inputFiles())
 
 
-def read_batch_group(spark: SparkSession, files: list[str], header: str) -> DataFrame:
+def _csv_reader(spark: SparkSession, header: str):
     return (spark.read.schema(_schema_for(header))
             .option("header", True).option("escape", '"').option("nullValue", NULL_TEXT)
-            .option("mode", "PERMISSIVE").csv(files)
+            .option("mode", "PERMISSIVE"))
+
+
+def read_batch_group(spark: SparkSession, files: list[str], header: str) -> DataFrame:
+    return _csv_reader(spark, header).csv(files).withColumn("source_file", F.col("_metadata.file_path"))
+
+
+def read_batch_folder(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """Every batch file under ``path``, when all of them share one header.
+
+    Reading the folder lets the scan list it once, instead of resolving each
+    file path of a long list.
+    """
+    return (_csv_reader(spark, header).option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.csv").csv(path)
             .withColumn("source_file", F.col("_metadata.file_path")))
 
 
@@ -86,11 +100,24 @@ def file_metadata(df: DataFrame, path_col: str = "source_file") -> DataFrame:
     The pattern is greedy: ``morning_my_key_0-5.csv`` gives run ``morning_my``.  A name
     that does not match gives NULL fields.
     """
-    name = F.regexp_extract(F.col(path_col), BATCH_FILE, 1)
-    matched = name.rlike(BATCH_NAME)
+    path = F.col(path_col)
+    # the batch name is the file name, or the name of the folder Spark's CSV
+    # writer made for it (``.../[key=]name.csv/part-....csv``); plain string
+    # splitting, since a regex over the whole path runs once per row
+    file_name = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    folder_name = F.substring_index(folder, "=", -1)
+    name = F.when(folder_name.endswith(".csv") & file_name.startswith("part-"), folder_name) \
+            .otherwise(F.substring_index(file_name, "=", -1))
+    # one regex pass yields all four groups.  BATCH_GROUPS takes the same groups
+    # as the greedy first match of BATCH_NAME (the later groups cannot hold the
+    # separator that follows them), with far less backtracking
+    parts = F.split(F.regexp_replace(name, BATCH_GROUPS + "(.*)$", "$1\u0001$2\u0001$3\u0001$4"),
+                    "\u0001")
+    matched = (F.size(parts) == 4) & ~name.contains("\u0001")
 
     def part(i):
-        return F.when(matched, F.regexp_extract(name, BATCH_NAME, i))
+        return F.when(matched, F.get(parts, i - 1))
 
     out = df.withColumns({
         "source_filename": F.when(matched, name),
@@ -114,6 +141,9 @@ def load_batches(spark: SparkSession, path: str) -> DataFrame:
     if not files:
         raise FileNotFoundError(f"no batch .csv files under {path}")
     groups = header_groups(spark, files)
+    if len(groups) == 1:
+        (header,) = groups
+        return file_metadata(rename_index(read_batch_folder(spark, path, header)))
     stacked = None
     for header in sorted(groups):
         part = read_batch_group(spark, groups[header], header)

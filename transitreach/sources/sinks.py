@@ -37,8 +37,12 @@ def write_batch(df: DataFrame, root: str, run: str, client: str, start: int, end
 
 
 def write_batches(df: DataFrame, root: str, name_col: str = "source_filename") -> str:
-    """Many batches at once: one CSV folder per batch name, written by one job."""
-    (df.write.mode("overwrite").partitionBy(name_col).option("header", True)
+    """Many batches at once: one CSV folder per batch name, written by one job.
+
+    Rows are first clustered by batch name, so each batch is one file (as the
+    fetcher writes it) instead of one file per writing task and batch.
+    """
+    (df.repartition(name_col).write.mode("overwrite").partitionBy(name_col).option("header", True)
        .option("nullValue", NULL_TEXT).option("escape", '"').csv(root))
     return root
 
