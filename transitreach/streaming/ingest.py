@@ -4,9 +4,11 @@ The trip-level quantities (leg minutes per pair, transfers per trip) are
 aggregates over all legs of a trip, and every batch file holds complete trips
 (one file per fetched index range), so each arriving micro-batch can be cleaned
 on its own: a Structured Streaming file source feeds ``foreachBatch``, which runs
-the batch cleaning and appends legs to a Parquet table.  The stream's checkpoint
-lives in the shared checkpoint folder, so a restarted query resumes where it
-stopped and never appends a file twice.
+the batch cleaning and writes the legs of each micro-batch to its own folder
+``epoch=<id>`` of a Parquet table.  The stream's checkpoint lives in the shared
+checkpoint folder, so a restarted query resumes where it stopped; a micro-batch
+that is re-run after a failure overwrites its own folder instead of appending
+its legs a second time.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ def start_leg_ingest(spark: SparkSession, in_path: str, out_path: str,
 
     def clean_batch(batch: DataFrame, epoch_id: int) -> None:
         raw = file_metadata(batch.withColumnRenamed(INDEX_COLUMN, "l_number"))
-        clean_legs(raw, max_minutes=max_minutes).write.mode("append").partitionBy("run").parquet(out_path)
+        legs = clean_legs(raw, max_minutes=max_minutes)
+        legs.write.mode("overwrite").partitionBy("run").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
 
     writer = (batch_stream(spark, in_path).writeStream.foreachBatch(clean_batch)
               .option("checkpointLocation", checkpoint))
