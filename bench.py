@@ -56,7 +56,7 @@ def main() -> None:
 
     setup = {}
     for name, build in (("raw", R.raw), ("batch_csv", batch_folder), ("legs", R.legs),
-                        ("trips", R.trips), ("trips_full", R.trips_full)):
+                        ("trips", R.trips), ("trips_full", R.trips_full), ("responses", R.responses)):
         t0 = time.time()
         build(spark, sf_dir)
         setup[name] = round(time.time() - t0, 3)

@@ -424,10 +424,10 @@ def q_od_cross_join(spark, d):
 REQ_SQL = with_ctes("areas", "schools", extra=(
     "o0 AS (SELECT ROW_NUMBER() OVER (ORDER BY CAST(school_id AS BIGINT)) - 1 AS r, school_id AS origin, "
     "latitude AS origin_lat, longitude AS origin_lng FROM sch),\n"
-    "o AS (SELECT r AS o_pos, * EXCLUDE (r) FROM o0 WHERE r >= 0 AND r < 10),\n"
+    "o AS (SELECT r AS o_pos, * EXCLUDE (r) FROM o0),\n"
     "d0 AS (SELECT ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS r, geoid AS destination, "
     "CAST(1 AS DOUBLE) AS destination_lat, CAST(c_custkey AS DOUBLE) + 2 AS destination_lng FROM bg),\n"
-    "d AS (SELECT r - 100 AS d_pos, * EXCLUDE (r) FROM d0 WHERE r >= 100 AND r < 300),\n"
+    "d AS (SELECT r AS d_pos, * EXCLUDE (r) FROM d0),\n"
     "n AS (SELECT COUNT(*) AS n FROM o)")) + (
     "SELECT 'evening' AS run, d.d_pos * n.n + o.o_pos + 1 AS request_id, origin, origin_lat, origin_lng, "
     "destination, destination_lat, destination_lng FROM d, o, n")
@@ -435,8 +435,9 @@ REQ_SQL = with_ctes("areas", "schools", extra=(
 
 @query("request_plan", REQ_SQL)
 def q_request_plan(spark, d):
-    return A.request_plan(_schools_points(spark, d), _origins_areas(spark, d), origin_start=0,
-                          origin_end=10, dest_start=100, dest_end=300, order_col="ord", run="evening")
+    # the evening plan: schools are the origins; every school and every area
+    return A.request_plan(_schools_points(spark, d), _origins_areas(spark, d), order_col="ord",
+                          run="evening")
 
 
 @query("semi_join_schools", acc_sql(R.P_SUBSET, select=(
@@ -825,7 +826,7 @@ RESP_EXPECTED = with_ctes("facts", extra=(
 
 
 def _flat(spark, d):
-    return A.flatten_responses(fx.responses(spark, d))
+    return A.flatten_responses(R.responses(spark, d))
 
 
 @query("flatten_responses", RESP_EXPECTED + "SELECT * FROM flat")

@@ -72,6 +72,11 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, d, "raw", lambda: fx.raw_steps(spark, d))
 
 
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """The stored route responses (JSON text), one per request."""
+    return _stored(spark, d, "responses", lambda: fx.responses(spark, d))
+
+
 def parsed(spark: SparkSession, d: str) -> DataFrame:
     return parse_leg_rows(raw(spark, d))
 
