@@ -22,6 +22,10 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # one machine lists folders faster on the driver than with a listing job
+    # of one task per folder; on a cluster the default (parallel listing past
+    # 32 paths) is kept, since object-store listings are slow per call
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "4096",
 }
 
 
