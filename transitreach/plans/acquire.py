@@ -16,6 +16,7 @@ from ..functions.parse import SENTINEL, unix_to_ntz
 
 # ---- Fixed values: request defaults and time formats of the fetcher ----
 DEFAULT_PREFERENCE = "standard"
+MAX_BROADCAST_ORIGINS = 1_000_000   # indexed origins (id, position, two coordinates) ~ 50 MB
 MISSING_TIME_TEXT = "NA"
 REQUEST_TIME_FORMAT = "MM/dd/yyyy HH:mm:ss"       # Python %m/%d/%Y %H:%M:%S, then the zone text
 REQUEST_ZONE = "America/New_York"
@@ -87,13 +88,23 @@ def request_plan(origins: DataFrame, destinations: DataFrame, origin_start: int
     d = slice_rows(destinations, order_col, dest_start, dest_end, "d_pos").select(
         "d_pos", F.col("id").alias("destination"), F.col("lat").alias("destination_lat"),
         F.col("lng").alias("destination_lng"))
-    n_origins = o.select(F.count(F.lit(1))).scalar()
-    expanded = d.withColumn("o_pos", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                          n_origins - F.lit(1))))
-    pairs = expanded.join(o, "o_pos")
+    # the origin count is one number; it sizes the expansion and the join below
+    n_origins = o.count()
+    if n_origins == 0:
+        expanded = d.withColumn("o_pos", F.lit(None).cast("bigint")).where(F.lit(False))
+    else:
+        expanded = d.withColumn("o_pos", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                              F.lit(n_origins - 1).cast("bigint"))))
+    # The planner sizes an explode by its input, so it would take the expanded
+    # destinations (|D| x |O| rows) for a small table.  Broadcast the indexed
+    # origins when their counted size is bounded; otherwise shuffle both sides.
+    if n_origins <= MAX_BROADCAST_ORIGINS:
+        pairs = expanded.join(F.broadcast(o), "o_pos")
+    else:
+        pairs = expanded.hint("shuffle_merge").join(o, "o_pos")
     return pairs.select(
         F.lit(run).alias("run"),
-        (F.col("d_pos") * n_origins + F.col("o_pos") + F.lit(1)).alias("request_id"),
+        (F.col("d_pos") * F.lit(n_origins) + F.col("o_pos") + F.lit(1)).alias("request_id"),
         "origin", "origin_lat", "origin_lng", "destination", "destination_lat", "destination_lng")
 
 
