@@ -30,10 +30,11 @@ LOCAL_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "transitreach") -> SparkSession:
+                app_name: str = "transitreach", driver_memory: str = "8g") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
-        builder = builder.master(master)
+        # a local master runs every task in the driver JVM: give it the heap
+        builder = builder.master(master).config("spark.driver.memory", driver_memory)
     for key, value in LOCAL_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
