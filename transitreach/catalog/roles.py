@@ -47,6 +47,8 @@ def _stored(spark: SparkSession, d: str, name: str, build, partition_by=None,
     key = (spark.sparkContext.applicationId, ensure_checkpoint_dir(spark),
            os.path.abspath(d), name)
     hit = _STORED.get(key)
+    if hit is not None and not _exists(spark, hit[0]):
+        hit = None                    # the folder was cleaned up: write it again
     if hit is None:
         df = build()
         path = write_table(df, scratch_path(spark, name), partition_by=partition_by,
@@ -56,11 +58,21 @@ def _stored(spark: SparkSession, d: str, name: str, build, partition_by=None,
     return spark.read.parquet(path).select(*columns)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written folder is still there (Hadoop file system of the path)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+    except Exception:  # noqa: BLE001 -- no JVM access (e.g. a remote client): trust the cache
+        return True
+
+
 def stored_folder(spark: SparkSession, d: str, name: str, write) -> str:
     """A folder written once per session and input folder by ``write(path)``."""
     key = (spark.sparkContext.applicationId, ensure_checkpoint_dir(spark),
            os.path.abspath(d), name)
-    if key not in _STORED:
+    if key not in _STORED or not _exists(spark, _STORED[key]):
         path = scratch_path(spark, name)
         write(path)
         _STORED[key] = path
