@@ -16,7 +16,7 @@ from ..operators.legs import clean_legs, parse_leg_rows
 from ..operators.schools import process_schools
 from ..operators.trips import build_trips, enrolment_join
 from ..params import AccessParams
-from ..plans.etl import write_table
+from ..plans.etl import TRIP_LAYOUT, write_table
 from ..plans.serve import Tables
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import fixtures as fx
@@ -36,7 +36,7 @@ _STORED: dict = {}
 
 
 def _stored(spark: SparkSession, d: str, name: str, build, partition_by=None,
-            sort_within=None) -> DataFrame:
+            sort_within=None, range_by=None) -> DataFrame:
     """Build a role table once, write it to the shared checkpoint folder, read it back.
 
     The raw rows stand for the batch files on storage, and legs and trips for
@@ -52,7 +52,7 @@ def _stored(spark: SparkSession, d: str, name: str, build, partition_by=None,
     if hit is None:
         df = build()
         path = write_table(df, scratch_path(spark, name), partition_by=partition_by,
-                           sort_within=sort_within)
+                           sort_within=sort_within, range_by=range_by)
         hit = _STORED[key] = (path, list(df.columns))
     path, columns = hit
     return spark.read.parquet(path).select(*columns)
@@ -101,7 +101,7 @@ def legs(spark: SparkSession, d: str) -> DataFrame:
 def trips(spark: SparkSession, d: str) -> DataFrame:
     """The ETL's trips table (``build_trips`` of the legs)."""
     return _stored(spark, d, "trips", lambda: build_trips(legs(spark, d)), partition_by=["run"],
-                   sort_within=["t_time"])
+                   sort_within=["t_time"], range_by=TRIP_LAYOUT)
 
 
 def schools(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def schools(spark: SparkSession, d: str) -> DataFrame:
 def trips_full(spark: SparkSession, d: str) -> DataFrame:
     """Trips with the destination's enrolment, as the dashboard loads them."""
     return _stored(spark, d, "trips_full", lambda: enrolment_join(trips(spark, d), schools(spark, d)),
-                   partition_by=["run"], sort_within=["t_time"])
+                   partition_by=["run"], sort_within=["t_time"], range_by=TRIP_LAYOUT)
 
 
 def areas(spark: SparkSession, d: str, geometry: bool = False) -> DataFrame:
