@@ -61,11 +61,15 @@ def main() -> None:
         build(spark, sf_dir)
         setup[name] = round(time.time() - t0, 3)
 
-    times = {}
+    times, errors = {}, {}
     for key in keys:
         fn, _sql = QUERIES[key]
         t0 = time.time()
-        run_noop(fn(spark, sf_dir))
+        try:
+            run_noop(fn(spark, sf_dir))
+        except Exception as exc:  # noqa: BLE001 -- report the failure, keep measuring the rest
+            errors[key] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            continue
         times[key] = round(time.time() - t0, 3)
 
     sf = os.path.basename(sf_dir).replace("sf", "")
@@ -77,6 +81,7 @@ def main() -> None:
         "setup": setup,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
