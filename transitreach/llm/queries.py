@@ -6,16 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import exact_dedup, mixing, packing, tokenfiles
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, tokenfiles
 from .common import documents
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir), width=2, threshold=80)
+
+
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_table(documents(spark, sf_dir))
 
 
+def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+def op4_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(documents(spark, sf_dir))
+
+
 def op7_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenfiles.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path(WORD_VOCABULARY), end_id=1)
@@ -31,7 +43,10 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bbit_minhash": (op1_bbit_minhash, near_dedup.ORACLE_SQL),
     "op2_poisson_mix": (op2_poisson_mix, mixing.ORACLE_SQL),
+    "op3_secret_linking": (op3_secret_linking, secrets.ORACLE_SQL),
+    "op4_iblt_fingerprint": (op4_iblt_fingerprint, None),
     "op7_token_parquet": (op7_token_parquet, None),
     "op9_tier_packing": (op9_tier_packing, None),
     "op10_heavy_hitter_dedup": (op10_heavy_hitter_dedup, exact_dedup.ORACLE_SQL),
