@@ -1,25 +1,51 @@
-"""Encoding whole texts with a public tokenizer, each distinct word once.
+"""Encoding whole texts with a public word-level tokenizer, each distinct word once.
 
-The word-level BPE vocabularies split at white space before anything else and
+The word-level BPE vocabularies split a text into words before anything else and
 encode each word on its own, so the ids of a text are the ids of its words in
-order.  Splitting at blank, tab and line ends is safe there: NFC never composes
-across them and no special token holds one.  Words repeat a lot, so the ids of
-a word are looked up in a bounded table that lives as long as the Python worker
-and the text's ids are gathered with numpy.
+order.  Words repeat a lot, so a word's ids are looked up in a bounded table that
+lives as long as the Python worker, and the text's ids are gathered with numpy.
+
+Where a text may be cut without changing its ids:
+
+* at blank, tab and line ends, always: composition (NFC) never crosses them and no
+  special token holds one;
+* in texts of Latin-1 characters (nothing to compose) without ``<|`` (no special
+  token), also between letters and what is neither letter nor white space, in
+  words without an apostrophe (contractions are words of their own).  Such
+  texts are lower-cased first, as the tokenizer does, so that fewer words differ.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-CACHE_WORDS = 300_000        # table size at which it is started anew
+CACHE_WORDS = 500_000        # table size at which it is started anew
 CHUNK_CHARS = 2_000_000      # characters encoded at a time
 
+_LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
+_PIECES = re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \\n\\t\\r]+")
+_PIECES_APOSTROPHE = re.compile(f"[^ \\n\\t\\r']*'[^ \\n\\t\\r]*|[{_LETTERS}]+|[^{_LETTERS} \\n\\t\\r']+")
+
+
+def pieces(text: str) -> list[str]:
+    """Pieces of the text that encode on their own, in order (empty ones do no harm)."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        simple = False
+    else:
+        simple = "<|" not in text
+    if not simple:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return (_PIECES_APOSTROPHE if "'" in text else _PIECES).findall(text.lower())
+
 
 class WordCodec:
     def __init__(self, path: str):
@@ -37,10 +63,15 @@ class WordCodec:
         self._used = 0
 
     def _learn(self, words: list[str]) -> None:
-        encoded = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        lists = [e.ids for e in encoded]
+        # a word of lower-case ASCII letters passes the normaliser and splitter as it
+        # is, so the model can be asked at once
+        plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
+        tokenize = self._tokenizer.model.tokenize
+        rest = iter(self._tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p],
+                                                      add_special_tokens=False))
+        lists = [[t.id for t in tokenize(w)] if p else next(rest).ids for w, p in zip(words, plain)]
         lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(lens.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(lens.sum()))
         n, need = len(self._place), self._used + len(flat)
         if need > len(self._ids):
             self._ids = np.resize(self._ids, 2 * need)
@@ -59,7 +90,7 @@ class WordCodec:
             self._reset()
         words, counts = [], np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            own = pieces(text)
             counts[i] = len(own)
             words += own
         new = [w for w in set(words) if w not in self._place]
