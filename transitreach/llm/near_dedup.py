@@ -11,12 +11,16 @@
 4. What remains is confirmed on the full shingle sets, and confirmed links are
    joined to components.
 
-Within a band bucket pairs are not enumerated.  In each round every bucket links
-its members to one leader, another one each round, and members that a round
-has brought together are not compared again.  Most buckets are settled so.  In
-the rest, members of different components are compared in blocks of at most
-``BLOCK`` rows a side, so that no task holds a bucket; only pairs that pass the
-bit-count test leave the join.  No pair of a bucket is left out.
+Within a band bucket pairs are not enumerated.  In each round every bucket offers
+its members one leader, another one each round; a member is confirmed against the
+most similar of the leaders that pass the bit-count test, and members that a
+round has brought together are not compared again.  Every pair that passes the
+bit-count test also joins the two in one family, and bucket members of different
+families are compared by bit counts in blocks until no pair passes.  So any pair
+that could be a link lies within a family.  Families that still hold several
+components are then compared completely: all members outside the largest
+component against all members, in blocks of about ``BLOCK`` rows a side.  Only
+links that join two components leave a block.
 
 What may be lost is set by the signature: a pair of exactly 0.8 shares no band
 with probability (1 - 0.8^4)^32 < 5e-8, and fails the bit-count test with a
@@ -36,6 +40,7 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +53,7 @@ from .wordcodec import text_chunks
 HASHES, BITS, BAND_ROWS = 128, 4, 4
 LOSS = 1e-6              # chance that the bit-count test drops a pair at the threshold
 ROUNDS = 4               # leader rounds before the rest is compared in blocks
-BLOCK = 256              # rows a side of a block of a bucket
+BLOCK = 128              # rows a side of a block of a bucket or family
 MOST_BROADCAST_IDS = 1_000_000     # 8 bytes each
 
 PLANES = [f"p{i}" for i in range(BITS * HASHES // 64)]
@@ -151,15 +156,16 @@ class _Links:
             F.col("rep").alias("id"), "n_shingles", *PLANES), "near_planes")
         self.sets = materialise(self.spark, full_sets(docs, members.select(F.col("rep").alias("id")), width),
                                 "near_sets")
-        self.links: DataFrame | None = None      # confirmed: a, b
-        self.labels = members.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+        self.nodes = members.select(F.col("rep").alias("node"))
+        self.links = self.near = self._none()        # confirmed, and those that pass the bit-count test
+        self.labels = self.families = self.nodes.withColumn("component", F.col("node"))
 
-    def _promising(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs ``a, b`` whose bit counts allow the threshold."""
-        return (pairs.distinct()
-                .join(self.planes.alias("x"), F.col("a") == F.col("x.id"))
-                .join(self.planes.alias("y"), F.col("b") == F.col("y.id"))
-                .where(agreeing("x", "y") >= self.least).select("a", "b"))
+    def _none(self) -> DataFrame:
+        return self.spark.createDataFrame([], "a bigint, b bigint")
+
+    def _labelled(self, edges: DataFrame, name: str) -> DataFrame:
+        return materialise(self.spark, self.nodes.join(components(edges), "node", "left").select(
+            "node", F.coalesce("component", "node").alias("component")), name)
 
     def _confirm(self, pairs: DataFrame, step: str) -> int:
         """Confirm on the full sets; the new links' number."""
@@ -169,49 +175,127 @@ class _Links:
         union = F.size("va") + F.size("vb") - both
         found = materialise(self.spark, pairs.join(x, "a").join(y, "b").where(
             both * 100 >= union * self.threshold).select("a", "b"), f"near_links_{step}")
+        return self._linked(found)
+
+    def _linked(self, found: DataFrame) -> int:
         new = found.count()
         if new:
-            self.links = found if self.links is None else self.links.unionByName(found)
-            linked = components(self.links)
-            self.labels = materialise(self.spark, (
-                self.buckets.select(F.col("rep").alias("node")).distinct().join(linked, "node", "left")
-                .select("node", F.coalesce("component", "node").alias("component"))), "near_labels")
+            self.links = self.links.unionByName(found)
+            self.labels = self._labelled(self.links, "near_labels")
         return new
 
-    def _open(self) -> DataFrame:
-        """``key, rep, component`` in buckets that still hold several components."""
-        labelled = self.buckets.join(self.labels, F.col("rep") == F.col("node")).select("key", "rep", "component")
-        several = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+    def _open(self, labels: DataFrame) -> DataFrame:
+        """``key, rep, label, size`` in buckets of several labels."""
+        labelled = self.buckets.join(labels, F.col("rep") == F.col("node")).select(
+            "key", "rep", F.col("component").alias("label"))
+        several = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                F.count(F.lit(1)).alias("size")).where("lo <> hi"))
-        return labelled.join(several, "key").select("key", "rep", "component", "size")
+        return labelled.join(several, "key").select("key", "rep", "label", "size")
 
     def leader_round(self, number: int) -> int:
         """Compare each bucket's members with one leader of another component."""
         salt = F.lit((0x9E3779B97F4A7C1 * number) & 0x7FFFFFFFFFFFFFFF)      # round 0: the smallest
-        opened = materialise(self.spark, self._open(), f"near_open_{number}")
+        opened = materialise(self.spark, self._open(self.labels), f"near_open_{number}")
         leaders = (opened.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("least"))
                    .select("key", F.col("least").bitwiseXOR(salt).alias("leader"))
                    .join(self.labels.select(F.col("node").alias("leader"), F.col("component").alias("own")), "leader"))
-        pairs = (opened.join(leaders, "key").where("component <> own")
-                 .select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")))
-        return self._confirm(self._promising(pairs), str(number))
-
-    def compare_rest(self) -> int:
-        """Compare all members of different components that still share a bucket, in blocks."""
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        rest = self._open().withColumn("n", blocks).withColumn(
-            "own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-        rest = materialise(self.spark, rest.join(self.planes, F.col("rep") == F.col("id")).drop("id"), "near_rest")
-        # block pair (i, j), i <= j: a row of block k is in (0, k) ... (k, k) on the right, (k, k) ... (k, n-1) on the left
-        left = rest.withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.col("own"), F.col("n") - 1))})
-        right = rest.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0), F.col("own")))})
-        x, y = left.alias("x"), right.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i"))
-                       & (F.col("x.j") == F.col("y.j")) & (F.col("x.component") != F.col("y.component"))
-                       & ((F.col("x.own") != F.col("y.own")) | (F.col("x.rep") < F.col("y.rep")))
-                       & (agreeing("x", "y") >= self.least))
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        return self._confirm(pairs.distinct(), "rest")
+        pairs = opened.join(leaders, "key").where("label <> own").select("rep", "leader").distinct()
+        passing = materialise(self.spark, (
+            pairs.join(self.planes.alias("x"), F.col("rep") == F.col("x.id"))
+            .join(self.planes.alias("y"), F.col("leader") == F.col("y.id"))
+            .withColumn("agree", agreeing("x", "y")).where(F.col("agree") >= self.least)
+            .select("rep", "leader", "agree")), f"near_passing_{number}")
+        self.near = self.near.unionByName(passing.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+        best = passing.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("leader")).alias("leader"))).alias("best"))
+        return self._confirm(best.select(F.col("rep").alias("a"), (-F.col("best.leader")).alias("b")), str(number))
+
+    def close_families(self) -> None:
+        """Join families until no bucket holds a pair of two families that passes the bit-count test."""
+        while True:
+            self.families = self._labelled(self.near.unionByName(self.links), "near_families")
+            blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+            rest = self._open(self.families).withColumn("n", blocks).withColumn(
+                "own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+            rest = materialise(self.spark, rest.join(self.planes, F.col("rep") == F.col("id")).drop("id"), "near_rest")
+            # blocks i <= j of a bucket meet: a row of block k stands left in (k, k) ... (k, n - 1)
+            # and right in (0, k) ... (k, k)
+            left = rest.withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.col("own"), F.col("n") - 1))})
+            right = rest.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0), F.col("own")))})
+            x, y = left.alias("x"), right.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i"))
+                           & (F.col("x.j") == F.col("y.j")) & (F.col("x.label") != F.col("y.label"))
+                           & ((F.col("x.own") != F.col("y.own")) | (F.col("x.rep") < F.col("y.rep")))
+                           & (agreeing("x", "y") >= self.least))
+            # one pair of each two families is enough to join them
+            found = materialise(self.spark, pairs.groupBy(
+                F.least("x.label", "y.label").alias("a"), F.greatest("x.label", "y.label").alias("b"))
+                .count().select("a", "b"), "near_families_joined")
+            if not found.count():
+                break
+            self.near = self.near.unionByName(found)
+
+    def compare_families(self) -> None:
+        """Compare all members of different components within a family, in blocks."""
+        rows = self.labels.join(self.families.select("node", F.col("component").alias("family")), "node")
+        sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = (sizes.groupBy("family").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"),
+                                               F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+                   .where("parts > 1").select("family", "size", F.col("top.n").alias("most"),
+                                              (-F.col("top.c")).alias("main")))
+        several = materialise(self.spark, rows.join(largest, "family"), "near_several")
+        tasks = several.count() // BLOCK + 1
+
+        def blocks(rows):
+            return F.ceil(rows / F.lit(BLOCK)).cast("int")
+
+        def hashed(n, salt):
+            return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+
+        several = several.withColumns({"na": blocks(F.col("size")), "ns": blocks(F.col("size") - F.col("most"))})
+        # families of one block share tasks
+        several = several.withColumn("task", F.when(F.col("na") > 1, F.col("family")).otherwise(
+            F.pmod(F.xxhash64("family"), F.lit(tasks))))
+        every = several.withColumns({"side": F.lit(False), "j": hashed("na", 1),
+                                     "i": F.explode(F.sequence(F.lit(0), F.col("ns") - 1))})
+        outside = several.where("component <> main").withColumns({
+            "side": F.lit(True), "i": hashed("ns", 2), "j": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
+        placed = every.unionByName(outside).select(
+            "task", (F.col("na") > 1).alias("large"), "i", "j", "side", "family", "component", "node")
+        placed = (placed.join(self.planes.withColumnRenamed("id", "node"), "node")
+                  .join(self.sets.withColumnRenamed("id", "node"), "node"))
+        self._linked(materialise(self.spark, placed.groupBy("task", "large", "i", "j").applyInPandas(
+            _block_links(self.least, self.threshold), "a bigint, b bigint"), "near_links_rest"))
+
+
+def _block_links(least: int, threshold: int):
+    """For ``applyInPandas``: links between rows of ``side`` and the others, one for two components."""
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        s, a = block[block["side"]], block[~block["side"]]
+        out = []
+        planes_s, planes_a = (x[PLANES].to_numpy(dtype=np.int64).view(np.uint64) for x in (s, a))
+        values = [np.asarray(v, dtype=np.int64) for v in a["values"]]
+        sizes = np.array([len(v) for v in values], dtype=np.int64)
+        words = HASHES // 64
+        family, component, node = (a[c].to_numpy() for c in ("family", "component", "node"))
+        for row, own, f, c, v in zip(planes_s, s["node"], s["family"], s["component"], s["values"]):
+            differ = np.zeros(len(a), dtype=np.int64)
+            for w in range(words):
+                x = planes_a[:, w::words] ^ row[w::words]
+                differ += np.bitwise_count(np.bitwise_or.reduce(x, axis=1))
+            at = np.flatnonzero((HASHES - differ >= least) & (family == f) & (component != c))
+            if not len(at):
+                continue
+            mine = np.sort(np.asarray(v, dtype=np.int64))
+            theirs = np.concatenate([values[k] for k in at])
+            place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            starts = np.concatenate(([0], np.cumsum(sizes[at])[:-1]))
+            both = np.add.reduceat((mine[place] == theirs).astype(np.int64), starts)
+            linked = at[both * 100 >= (len(mine) + sizes[at] - both) * threshold]
+            _, first = np.unique(component[linked], return_index=True)
+            out += [(own, node[k]) for k in linked[first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def near_links(docs: DataFrame, width: int = 5, threshold: int = 80) -> _Links:
@@ -220,7 +304,8 @@ def near_links(docs: DataFrame, width: int = 5, threshold: int = 80) -> _Links:
     for number in range(ROUNDS):
         if not links.leader_round(number):
             break
-    links.compare_rest()
+    links.close_families()
+    links.compare_families()
     return links
 
 

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-CACHE_WORDS = 500_000        # table size at which it is started anew
+CACHE_WORDS = 700_000        # table size at which it is started anew
 CHUNK_CHARS = 2_000_000      # characters encoded at a time
 
 _LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
+_PLAIN = re.compile("[a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+")
 _PIECES = re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \\n\\t\\r]+")
 _PIECES_APOSTROPHE = re.compile(f"[^ \\n\\t\\r']*'[^ \\n\\t\\r]*|[{_LETTERS}]+|[^{_LETTERS} \\n\\t\\r']+")
 
@@ -47,32 +48,49 @@ def pieces(text: str) -> list[str]:
     return (_PIECES_APOSTROPHE if "'" in text else _PIECES).findall(text.lower())
 
 
+class _Places(dict):
+    """Word -> number; a word asked for the first time gets the next one and is listed as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordCodec:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # how the splitter spells each lower-case Latin-1 letter for the model
+        self._spelled = {ord(c): "".join(p for p, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(c))
+                         for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
         self._reset()
 
     def _reset(self):
-        self._place: dict[str, int] = {}
+        self._place = _Places()
         self._ids = np.zeros(1 << 16, dtype=np.int32)
         self._start = np.zeros(1 << 14, dtype=np.int64)
         self._len = np.zeros(1 << 14, dtype=np.int64)
         self._used = 0
 
     def _learn(self, words: list[str]) -> None:
-        # a word of lower-case ASCII letters passes the normaliser and splitter as it
-        # is, so the model can be asked at once
-        plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
-        tokenize = self._tokenizer.model.tokenize
+        # a word of lower-case Latin-1 letters passes the normaliser as it is and is not
+        # split, so the model can be asked at once
+        plain = [_PLAIN.fullmatch(w) is not None for w in words]
+        tokenize, spelled = self._tokenizer.model.tokenize, self._spelled
         rest = iter(self._tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p],
                                                       add_special_tokens=False))
-        lists = [[t.id for t in tokenize(w)] if p else next(rest).ids for w, p in zip(words, plain)]
+        lists = [[t.id for t in tokenize(w if w.isascii() else w.translate(spelled))] if p else next(rest).ids
+                 for w, p in zip(words, plain)]
         lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(lens.sum()))
-        n, need = len(self._place), self._used + len(flat)
+        n, need = len(self._place) - len(words), self._used + len(flat)
         if need > len(self._ids):
             self._ids = np.resize(self._ids, 2 * need)
         if n + len(words) > len(self._len):
@@ -82,7 +100,6 @@ class WordCodec:
         self._len[n:n + len(words)] = lens
         self._start[n:n + len(words)] = self._used + np.cumsum(lens) - lens
         self._used = need
-        self._place.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
@@ -93,10 +110,10 @@ class WordCodec:
             own = pieces(text)
             counts[i] = len(own)
             words += own
-        new = [w for w in set(words) if w not in self._place]
-        if new:
-            self._learn(new)
         at = np.fromiter(map(self._place.__getitem__, words), dtype=np.int64, count=len(words))
+        if self._place.new:
+            self._learn(self._place.new)
+            self._place.new = []
         lens = self._len[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
