@@ -26,6 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
 def text_of(text: str | Column = "text") -> Column:
     """The text, a NULL text as the empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

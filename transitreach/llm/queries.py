@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, tokenfiles
-from .common import documents
+from . import (exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, secrets, tokenfiles,
+               toxicity)
+from .common import documents, labels
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -28,12 +30,24 @@ def op4_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(documents(spark, sf_dir))
+
+
+def op6_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenfiles.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path(WORD_VOCABULARY), end_id=1)
     return tokenfiles.token_digests(spark, path)
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY), end_id=2)
 
@@ -47,7 +61,11 @@ QUERIES = {
     "op2_poisson_mix": (op2_poisson_mix, mixing.ORACLE_SQL),
     "op3_secret_linking": (op3_secret_linking, secrets.ORACLE_SQL),
     "op4_iblt_fingerprint": (op4_iblt_fingerprint, None),
+    "op5_weak_supervision_pii": (op5_weak_supervision_pii, None),
+    "op6_fourier_quality": (op6_fourier_quality, None),
     "op7_token_parquet": (op7_token_parquet, None),
+    "op8_toxicity_chain": (op8_toxicity_chain, None),
     "op9_tier_packing": (op9_tier_packing, None),
     "op10_heavy_hitter_dedup": (op10_heavy_hitter_dedup, exact_dedup.ORACLE_SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

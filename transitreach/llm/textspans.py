@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 STRETCH = 256
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,text:string>>"
 
+CONTEXT_SPAN = SPAN.replace("text:string", "text:string,left:string,right:string")
+
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -40,21 +42,30 @@ def _starts(found: Column, between: Column) -> Column:
 
 
 def spans(text: Column, found: Column, pattern: str, kind: str, rank: int,
-          keep: Callable[[Column], Column] | None = None, judged: Column | None = None) -> Column:
+          keep: Callable[[Column], Column] | None = None, judged: Column | None = None,
+          context: int = 0) -> Column:
     """The spans of ``found`` (``matches(text, pattern)``) for which ``keep`` holds.
 
     ``keep`` sees the match, or the element of ``judged`` (another group of the
-    same matches) at its place.
+    same matches) at its place.  With ``context``, the spans also have that many
+    code points of what stands to the left and right, up to the next match.
     """
-    placed = F.zip_with(found, _starts(found, F.split(text, pattern, -1)), lambda m, s: F.struct(
+    between = F.split(text, pattern, -1)       # evaluated for texts with a match only
+    placed = F.zip_with(found, _starts(found, between), lambda m, s: F.struct(
         s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(m)).alias("end"),
         F.lit(kind).alias("kind"), m.alias("text")))
+    if context:
+        sides = F.transform(found, lambda _, i: F.struct(F.right(F.get(between, i), F.lit(context)).alias("left"),
+                                                         F.left(F.get(between, i + 1), F.lit(context)).alias("right")))
+        placed = F.zip_with(placed, sides, lambda p, x: F.struct(
+            p["start"].alias("start"), p["rank"].alias("rank"), p["end"].alias("end"), p["kind"].alias("kind"),
+            p["text"].alias("text"), x["left"].alias("left"), x["right"].alias("right")))
     if judged is not None:
         both = F.arrays_zip(placed.alias("s"), judged.alias("j"))
         placed = F.transform(F.filter(both, lambda x: keep(x["j"])), lambda x: x["s"])
     elif keep is not None:
         placed = F.filter(placed, lambda x: keep(x["text"]))
-    return F.when(F.size(found) > 0, placed).otherwise(F.array()).cast(SPAN)
+    return F.when(F.size(found) > 0, placed).otherwise(F.array()).cast(CONTEXT_SPAN if context else SPAN)
 
 
 def listed(found: Column) -> Column:
