@@ -11,12 +11,16 @@ from ..session import scratch_path
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts the lineage with files every executor can read, so a lost executor
-    re-reads them instead of re-deriving them.
+    re-reads them instead of re-deriving them.  ``files``, sized by the caller from
+    counted rows, keeps a small table from being written as one file per shuffle
+    partition.
     """
+    if files is not None:
+        df = df.coalesce(files)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

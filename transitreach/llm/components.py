@@ -2,8 +2,9 @@
 
 Every step is a grouped minimum (summed per task first) and a join back, so a
 node with a third of all edges costs no task more than its share: the minima
-have one row a node, and the adaptive skew join splits the node's edges.
-Each round's edges are written to the shared folder.
+have one row a node; they are broadcast up to ``MOST_BROADCAST_NODES`` counted
+rows, and beyond that the adaptive skew join splits a node's edges.  Every step's
+edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,27 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import broadcast_if, materialise
 
+MOST_BROADCAST_NODES = 500_000       # two longs a row
+ROWS_A_FILE = 200_000
 
-def _minima(directed: DataFrame) -> DataFrame:
-    """``v, m``: the smallest of each node and its neighbours."""
-    return directed.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
 
+def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
+    """One large-star or small-star step on ``a < b`` edges.
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
-        edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    return (both.join(_minima(both), "v").where("u > v")
-            .select(F.col("m").alias("a"), F.col("u").alias("b")))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    # edges are (smaller, larger): a node's smaller neighbours and itself go to the smallest
+    Large: a node's larger neighbours go to the smallest of the node and its
+    neighbours.  Small: a node and its smaller neighbours go to the smallest.
+    """
+    files = 2 * rows // ROWS_A_FILE + 1
     down = edges.select(F.col("b").alias("v"), F.col("a").alias("u"))
-    low = _minima(down)
-    linked = down.join(low, "v").select(F.col("m").alias("a"), F.col("u").alias("b"))
-    return linked.unionByName(low.select(F.col("m").alias("a"), F.col("v").alias("b")))
+    near = down.unionByName(edges.select(F.col("a").alias("v"), F.col("b").alias("u"))) if large else down
+    near = near.coalesce(files)
+    low = near.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")).coalesce(files)
+    linked = near.join(broadcast_if(low, 2 * rows, MOST_BROADCAST_NODES), "v")
+    if large:
+        out = linked.where("u > v").select(F.col("m").alias("a"), F.col("u").alias("b"))
+    else:
+        out = linked.select(F.col("m").alias("a"), F.col("u").alias("b")).unionByName(
+            low.select(F.col("m").alias("a"), F.col("v").alias("b")))
+    return materialise(edges.sparkSession, _tidy(out.coalesce(files)), "components", files)
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -47,17 +51,17 @@ def _summary(edges: DataFrame) -> tuple:
     return row["n"], row["h"], row["x"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges`` (long columns ``a, b``).
 
     ``component`` is the smallest node reachable.  Ends when a round changes
     nothing; the number of rounds grows with the logarithm of the longest path.
     """
     spark = edges.sparkSession
-    current = materialise(spark, _tidy(edges), "components")
+    current = materialise(spark, _tidy(edges), "components", files)
     before = _summary(current)
     while before[0]:
-        current = materialise(spark, _tidy(_small_star(_tidy(_large_star(current)))), "components")
+        current = _star(_star(current, before[0], large=True), before[0], large=False)
         after = _summary(current)
         if after == before:
             break

@@ -54,7 +54,8 @@ HASHES, BITS, BAND_ROWS = 128, 4, 4
 LOSS = 1e-6              # chance that the bit-count test drops a pair at the threshold
 ROUNDS = 4               # leader rounds before the rest is compared in blocks
 BLOCK = 128              # rows a side of a block of a bucket or family
-MOST_BROADCAST_IDS = 1_000_000     # 8 bytes each
+MOST_BROADCAST_IDS = 1_000_000     # one or two longs each
+ROWS_A_FILE = 200_000              # of small tables of ids
 
 PLANES = [f"p{i}" for i in range(BITS * HASHES // 64)]
 _SIGNATURE = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(
@@ -150,10 +151,14 @@ class _Links:
         banded = reps.select("rep", F.explode("bands").alias("key"))
         shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         # only buckets of two classes and more, with the signatures of those in them
-        self.buckets = materialise(self.spark, banded.join(shared, "key").select("key", "rep"), "near_buckets")
-        members = materialise(self.spark, self.buckets.select("rep").distinct(), "near_members")
+        buckets = materialise(self.spark, banded.join(shared, "key").select("key", "rep"), "near_shared")
+        self.bucket_files = buckets.count() // ROWS_A_FILE + 1
+        self.buckets = materialise(self.spark, buckets, "near_buckets", self.bucket_files)
+        members = materialise(self.spark, self.buckets.select("rep").distinct(), "near_members", self.bucket_files)
+        self.members = members.count()
+        self.files = self.members // ROWS_A_FILE + 1
         self.planes = materialise(self.spark, reps.join(members, "rep").select(
-            F.col("rep").alias("id"), "n_shingles", *PLANES), "near_planes")
+            F.col("rep").alias("id"), "n_shingles", *PLANES), "near_planes", 4 * self.files)
         self.sets = materialise(self.spark, full_sets(docs, members.select(F.col("rep").alias("id")), width),
                                 "near_sets")
         self.nodes = members.select(F.col("rep").alias("node"))
@@ -164,8 +169,9 @@ class _Links:
         return self.spark.createDataFrame([], "a bigint, b bigint")
 
     def _labelled(self, edges: DataFrame, name: str) -> DataFrame:
-        return materialise(self.spark, self.nodes.join(components(edges), "node", "left").select(
-            "node", F.coalesce("component", "node").alias("component")), name)
+        found = broadcast_if(components(edges, self.files), self.members, MOST_BROADCAST_IDS)
+        return materialise(self.spark, self.nodes.join(found, "node", "left").select(
+            "node", F.coalesce("component", "node").alias("component")), name, self.files)
 
     def _confirm(self, pairs: DataFrame, step: str) -> int:
         """Confirm on the full sets; the new links' number."""
@@ -174,7 +180,7 @@ class _Links:
         both = F.size(F.array_intersect("va", "vb"))
         union = F.size("va") + F.size("vb") - both
         found = materialise(self.spark, pairs.join(x, "a").join(y, "b").where(
-            both * 100 >= union * self.threshold).select("a", "b"), f"near_links_{step}")
+            both * 100 >= union * self.threshold).select("a", "b"), f"near_links_{step}", self.files)
         return self._linked(found)
 
     def _linked(self, found: DataFrame) -> int:
@@ -186,6 +192,7 @@ class _Links:
 
     def _open(self, labels: DataFrame) -> DataFrame:
         """``key, rep, label, size`` in buckets of several labels."""
+        labels = broadcast_if(labels, self.members, MOST_BROADCAST_IDS)
         labelled = self.buckets.join(labels, F.col("rep") == F.col("node")).select(
             "key", "rep", F.col("component").alias("label"))
         several = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
@@ -195,7 +202,7 @@ class _Links:
     def leader_round(self, number: int) -> int:
         """Compare each bucket's members with one leader of another component."""
         salt = F.lit((0x9E3779B97F4A7C1 * number) & 0x7FFFFFFFFFFFFFFF)      # round 0: the smallest
-        opened = materialise(self.spark, self._open(self.labels), f"near_open_{number}")
+        opened = materialise(self.spark, self._open(self.labels), f"near_open_{number}", self.bucket_files)
         leaders = (opened.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("least"))
                    .select("key", F.col("least").bitwiseXOR(salt).alias("leader"))
                    .join(self.labels.select(F.col("node").alias("leader"), F.col("component").alias("own")), "leader"))
@@ -204,7 +211,7 @@ class _Links:
             pairs.join(self.planes.alias("x"), F.col("rep") == F.col("x.id"))
             .join(self.planes.alias("y"), F.col("leader") == F.col("y.id"))
             .withColumn("agree", agreeing("x", "y")).where(F.col("agree") >= self.least)
-            .select("rep", "leader", "agree")), f"near_passing_{number}")
+            .select("rep", "leader", "agree")), f"near_passing_{number}", self.files)
         self.near = self.near.unionByName(passing.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         best = passing.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("leader")).alias("leader"))).alias("best"))
         return self._confirm(best.select(F.col("rep").alias("a"), (-F.col("best.leader")).alias("b")), str(number))
@@ -216,7 +223,8 @@ class _Links:
             blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
             rest = self._open(self.families).withColumn("n", blocks).withColumn(
                 "own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-            rest = materialise(self.spark, rest.join(self.planes, F.col("rep") == F.col("id")).drop("id"), "near_rest")
+            rest = materialise(self.spark, rest.join(self.planes, F.col("rep") == F.col("id")).drop("id"), "near_rest",
+                               4 * self.bucket_files)
             # blocks i <= j of a bucket meet: a row of block k stands left in (k, k) ... (k, n - 1)
             # and right in (0, k) ... (k, k)
             left = rest.withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.col("own"), F.col("n") - 1))})
@@ -229,7 +237,7 @@ class _Links:
             # one pair of each two families is enough to join them
             found = materialise(self.spark, pairs.groupBy(
                 F.least("x.label", "y.label").alias("a"), F.greatest("x.label", "y.label").alias("b"))
-                .count().select("a", "b"), "near_families_joined")
+                .count().select("a", "b"), "near_families_joined", self.files)
             if not found.count():
                 break
             self.near = self.near.unionByName(found)
@@ -242,7 +250,7 @@ class _Links:
                                                F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
                    .where("parts > 1").select("family", "size", F.col("top.n").alias("most"),
                                               (-F.col("top.c")).alias("main")))
-        several = materialise(self.spark, rows.join(largest, "family"), "near_several")
+        several = materialise(self.spark, rows.join(largest, "family"), "near_several", self.files)
         tasks = several.count() // BLOCK + 1
 
         def blocks(rows):

@@ -34,7 +34,7 @@ from .wordcodec import encoded_chunks
 
 # ---- Fixed values: the layout of the files ----
 SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, token_ids array<int>"
-ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 DELTA_COLUMNS = ("doc_id", "part", "part_start", "n_tokens")
@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                  page_rows: int = PAGE_ROWS) -> None:
     """Encode ``docs`` and write the token files to ``path`` (a folder all executors share)."""
     writer = (token_rows(docs, tokenizer_path, end_id).write
-              .option("compression", "zstd")
+              .option("compression", "snappy")
               .option("parquet.writer.version", "v2")
               .option("parquet.block.size", str(row_group_bytes))
               .option("parquet.page.size", str(page_bytes))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-CACHE_WORDS = 700_000        # table size at which it is started anew
+CACHE_WORDS = 400_000        # table size at which it is started anew
 CHUNK_CHARS = 2_000_000      # characters encoded at a time
 
 _LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
