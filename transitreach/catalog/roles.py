@@ -95,7 +95,8 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 def legs(spark: SparkSession, d: str) -> DataFrame:
     """The ETL's legs table (``clean_legs`` of the raw rows), partitioned by run."""
-    return _stored(spark, d, "legs", lambda: clean_legs(raw(spark, d)), partition_by=["run"])
+    return _stored(spark, d, "legs", lambda: clean_legs(raw(spark, d)), partition_by=["run"],
+                   sort_within=["t_time"], range_by=TRIP_LAYOUT)
 
 
 def trips(spark: SparkSession, d: str) -> DataFrame:

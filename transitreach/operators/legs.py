@@ -130,7 +130,9 @@ def trip_level_values(parsed: DataFrame, max_minutes: float = MAX_TRIP_MINUTES)
 def clean_legs(raw: DataFrame, max_minutes: float = MAX_TRIP_MINUTES,
                roll_midnight: bool = False, keep_helpers: bool = False) -> DataFrame:
     """Raw stack (all strings) -> typed legs, filtered to ``t_time < max_minutes``."""
-    parsed = parse_leg_rows(raw, roll_midnight=roll_midnight)
+    # without a run there is no date, hence no trip time: such rows (of files whose name
+    # does not parse) can never be kept, and would form one NULL group in the windows
+    parsed = parse_leg_rows(raw, roll_midnight=roll_midnight).where(F.col("run").isNotNull())
     per_trip = trip_level_values(parsed, max_minutes)
     kept = parsed.where(F.col("t_time") < F.lit(max_minutes))
     legs = join_null_safe(kept, per_trip, TRIP_KEYS, "left")

@@ -1,14 +1,13 @@
 """Leg shares by transit line and agency, and small distribution summaries.
 
-Every total is a scalar subquery (``DataFrame.scalar()``): Spark computes it as
-its own one-row aggregate and inlines the value, so no cross join and no
-single-partition window is needed.  Top-k is ``orderBy(...).limit(k)``, planned
+Legs are read once: they are counted per line or agency, and the total is a window
+over that small table of counts (one row per line or agency).  Top-k is ``orderBy(...).limit(k)``, planned
 as ``TakeOrderedAndProject`` (per-partition top-k, then a k-row merge).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe
@@ -27,7 +26,7 @@ def line_shares(legs: DataFrame, top: int | None = TOP_LINES) -> DataFrame:
     """
     counts = (transit_legs(legs).where(F.col("l_line").isNotNull())
               .groupBy("l_line").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.select(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy())
     out = counts.select(
         "l_line",
         (F.col("n") / total).alias("Freq"),
@@ -47,21 +46,26 @@ def agency_counts(legs: DataFrame) -> DataFrame:
 
 def agency_shares(legs: DataFrame) -> DataFrame:
     """The pie's percent per agency."""
-    counts = agency_counts(legs)
-    total = counts.select(F.sum("Count")).scalar()
-    return counts.withColumn("percent", F.lit(100) * F.col("Count") / total)
+    total = F.sum("Count").over(Window.partitionBy())
+    return (agency_counts(legs).withColumn("percent", F.lit(100) * F.col("Count") / total)
+            .orderBy(F.col("Count").desc(), F.col("l_agency").asc()))
+
+
+def palette(colors: DataFrame, key: str, name: str) -> DataFrame:
+    """One colour per key (the smallest), so that a repeated key cannot multiply rows."""
+    return colors.groupBy(F.col(key).alias(name)).agg(F.min("l_color").alias("l_color"))
 
 
 def line_chart_feed(legs: DataFrame, colors: DataFrame, top: int = TOP_LINES) -> DataFrame:
     shares = line_shares(legs, top)
-    pal = colors.select(F.col("l_line").alias("Transit Route"), "l_color")
-    return join_null_safe(shares, pal, ["Transit Route"], "left")
+    out = join_null_safe(shares, palette(colors, "l_line", "Transit Route"), ["Transit Route"], "left")
+    return out.orderBy(F.col("Percent").desc(), F.col("l_line").asc())        # a join keeps no order
 
 
 def agency_chart_feed(legs: DataFrame, colors: DataFrame) -> DataFrame:
     counts = agency_counts(legs)
-    pal = colors.select(F.col("l_agency").alias("Agency"), "l_color")
-    return join_null_safe(counts, pal, ["Agency"], "left")
+    out = join_null_safe(counts, palette(colors, "l_agency", "Agency"), ["Agency"], "left")
+    return out.orderBy(F.col("Count").desc(), F.col("l_agency").asc())
 
 
 def sort_desc(df: DataFrame, column: str, tie_break: str) -> DataFrame:
@@ -82,12 +86,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width bins between the column's min and max; the last bin is closed.
 
-    The bounds are scalar subqueries; the bin index is a column expression and the
+    The bounds are one scalar subquery; the bin index is a column expression and the
     counts one aggregation, so the column is never collected.
     """
     vals = df.where(F.col(column).isNotNull())
-    lo = vals.select(F.min(column)).scalar()
-    hi = vals.select(F.max(column)).scalar()
+    bounds = vals.select(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     width = (hi - lo) / F.lit(bins)
     idx = F.least(F.floor((F.col(column) - lo) / (hi - lo) * F.lit(bins)).cast("bigint"),
                   F.lit(bins - 1).cast("bigint"))

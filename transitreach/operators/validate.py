@@ -32,10 +32,11 @@ def batch_coverage(stack: DataFrame, expected: int = EXPECTED_DESTINATIONS) -> D
 
 def od_stats(stack: DataFrame) -> DataFrame:
     """Distinct origins, destinations and pairs; NULL counts as a value."""
-    return stack.agg(
+    pairs = stack.select("origin", "destination").distinct()      # counted on pairs, not on rows
+    return pairs.agg(
         count_distinct_with_null("origin").alias("n_origin"),
         count_distinct_with_null("destination").alias("n_destination"),
-        count_distinct_with_null("origin", "destination").alias("n_pairs"),
+        F.count(F.lit(1)).alias("n_pairs"),
     )
 
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parse import SENTINEL, unix_to_ntz
+from ..session import scratch_path
 
 # ---- Fixed values: request defaults and time formats of the fetcher ----
 DEFAULT_PREFERENCE = "standard"
 MAX_BROADCAST_ORIGINS = 1_000_000   # indexed origins (id, position, two coordinates) ~ 50 MB
+POSITION_BLOCK = 10_000             # origin positions expanded from one row at a time
 MISSING_TIME_TEXT = "NA"
 REQUEST_TIME_FORMAT = "MM/dd/yyyy HH:mm:ss"       # Python %m/%d/%Y %H:%M:%S, then the zone text
 REQUEST_ZONE = "America/New_York"
@@ -44,14 +46,21 @@ RESPONSE_SCHEMA = T.ArrayType(T.StructType([T.StructField("legs", T.ArrayType(LE
 def dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFrame:
     """0-based position of each row in ``order_col`` order, computed distributed.
 
-    Rows are range-partitioned and sorted; each row's position is its partition's
-    offset (a running sum over the per-partition counts -- one row per partition)
-    plus its rank inside the partition.  Requires unique ``order_col`` values.
+    Rows are range-partitioned, sorted and written once with their partition and
+    place; each row's position is its partition's offset (a running sum over the
+    per-partition counts -- one row per partition) plus its place in the partition.
+    The offsets and the rows are both read from the written table: computed twice,
+    the sampled range bounds and the coalesced partitions could differ.  Requires
+    unique ``order_col`` values.
     """
     ordered = (df.repartitionByRange(order_col).sortWithinPartitions(order_col)
                  .withColumns({"_pid": F.spark_partition_id(),
                                "_mid": F.monotonically_increasing_id()}))
     ordered = ordered.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    ordered = ordered.drop("_mid")
+    path = scratch_path(df.sparkSession, "dense_index")
+    ordered.write.parquet(path)
+    ordered = df.sparkSession.read.schema(ordered.schema).parquet(path)
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -59,7 +68,7 @@ def dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFrame:
                           .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
         .alias("_offset"))
     out = ordered.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, F.col("_offset") + F.col("_pos")).drop("_pid", "_mid", "_pos", "_offset")
+    return out.withColumn(name, F.col("_offset") + F.col("_pos")).drop("_pid", "_pos", "_offset")
 
 
 def slice_rows(df: DataFrame, order_col: str, start: int, end: int | None, name: str = "idx") -> DataFrame:
@@ -93,8 +102,12 @@ def request_plan(origins: DataFrame, destinations: DataFrame, origin_start: int
     if n_origins == 0:
         expanded = d.withColumn("o_pos", F.lit(None).cast("bigint")).where(F.lit(False))
     else:
-        expanded = d.withColumn("o_pos", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                              F.lit(n_origins - 1).cast("bigint"))))
+        # in two steps, so that no row ever holds more than POSITION_BLOCK positions
+        blocks = F.sequence(F.lit(0).cast("bigint"), F.lit(n_origins - 1).cast("bigint"),
+                            F.lit(POSITION_BLOCK).cast("bigint"))
+        last = F.least(F.col("_block") + F.lit(POSITION_BLOCK - 1), F.lit(n_origins - 1)).cast("bigint")
+        expanded = (d.withColumn("_block", F.explode(blocks))
+                     .withColumn("o_pos", F.explode(F.sequence(F.col("_block"), last))).drop("_block"))
     # The planner sizes an explode by its input, so it would take the expanded
     # destinations (|D| x |O| rows) for a small table.  Broadcast the indexed
     # origins when their counted size is bounded; otherwise shuffle both sides.

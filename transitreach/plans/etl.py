@@ -52,7 +52,8 @@ def run_etl(spark: SparkSession, batch_dir: str, schools: DataFrame, out_dir: st
         "errors": error_pairs(raw).first().asDict(),
     }
     legs = clean_legs(raw, max_minutes=max_minutes)
-    legs_path = write_table(legs, f"{out_dir}/legs", partition_by=["run"])
+    legs_path = write_table(legs, f"{out_dir}/legs", partition_by=["run"], sort_within=["t_time"],
+                            range_by=TRIP_LAYOUT)
     legs = spark.read.parquet(legs_path)
     trips = enrolment_join(build_trips(legs), schools)
     trips_path = write_table(trips, f"{out_dir}/trips", partition_by=["run"], sort_within=["t_time"],

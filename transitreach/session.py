@@ -29,15 +29,22 @@ LOCAL_CONF = {
 }
 
 
+def is_local(master: str | None) -> bool:
+    """Whether tasks run in the driver's process (``local``, ``local[8]``; not ``local-cluster``)."""
+    return master == "local" or (master or "").startswith("local[")
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "transitreach", driver_memory: str = "8g") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
+        builder = builder.master(master)
+    if is_local(master):
         # a local master runs every task in the driver JVM: give it the heap
-        builder = builder.master(master).config("spark.driver.memory", driver_memory)
-    for key, value in LOCAL_CONF.items():
-        builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder = builder.config("spark.driver.memory", driver_memory)
+        for key, value in LOCAL_CONF.items():
+            builder = builder.config(key, value)
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -48,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     Reads ``spark.checkpoint.dir`` (or the SparkContext's directory); only when
-    neither is set -- a local test session -- a folder under the system
-    temporary directory is configured.
+    neither is set and the master is local -- a test session -- a folder under the
+    system temporary directory is configured.  On a cluster executors would not see
+    such a folder, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="transitreach-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -31,18 +31,20 @@ def batch_name(run: str, client: str, start: int, end: int) -> str:
 def write_batch(df: DataFrame, root: str, run: str, client: str, start: int, end: int) -> str:
     """One fetched batch: a CSV folder named like the fetcher's file, plus a Parquet copy."""
     name = batch_name(run, client, start, end)
-    write_csv(df, f"{root.rstrip('/')}/{name}.csv")
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}.parquet")
+    copy = f"{root.rstrip('/')}/{name}.parquet"
+    df.write.mode("overwrite").parquet(copy)                 # computed once; the CSV is made from it
+    write_csv(df.sparkSession.read.schema(df.schema).parquet(copy), f"{root.rstrip('/')}/{name}.csv")
     return name
 
 
 def write_batches(df: DataFrame, root: str, name_col: str = "source_filename") -> str:
     """Many batches at once: one CSV folder per batch name, written by one job.
 
-    Rows are first clustered by batch name, so each batch is one file (as the
-    fetcher writes it) instead of one file per writing task and batch.
+    Rows are first clustered by batch name, so a batch is one file (as the fetcher
+    writes it) instead of one file per writing task and batch; a batch larger than
+    the advisory partition size is split over several tasks and files.
     """
-    (df.repartition(name_col).write.mode("overwrite").partitionBy(name_col).option("header", True)
+    (df.hint("rebalance", name_col).write.mode("overwrite").partitionBy(name_col).option("header", True)
        .option("nullValue", NULL_TEXT).option("escape", '"').csv(root))
     return root
 
