@@ -52,6 +52,9 @@ PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.\x20)?[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}(?![A-Za-z])",
 }
+# What a text must hold for a pattern to match at all: a cheap test before the costly ones.
+NEEDS = {"email": r"@", "phone": r"\+[0-9]", "mail_text": r"(?i)[\[(\x20]dot[\])\x20]", "card": r"[0-9][\x20-]?[0-9]",
+         "ip": r"[0-9]\.[0-9]", "number": r"[0-9]{3}", "national_id": r"-[0-9]{4}"}
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 STRICT = {
@@ -104,7 +107,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     """``row, doc_id, base, added``: the spans of each row with their contexts."""
     found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of().alias("text"))
     for kind, pattern in PATTERNS.items():
-        found = found.withColumn(f"m_{kind}", matches(F.col("text"), pattern))
+        hits = matches(F.col("text"), pattern)
+        if kind in NEEDS:
+            hits = F.when(F.col("text").rlike(NEEDS[kind]), hits).otherwise(F.array().cast("array<string>"))
+        found = found.withColumn(f"m_{kind}", hits)
     made = {kind: spans(F.col("text"), F.col(f"m_{kind}"), pattern, kind, rank, KEEP.get(kind), context=CONTEXT)
             for rank, (kind, pattern) in enumerate(PATTERNS.items())}
     return found.select("row", "doc_id", F.concat(*[made[k] for k in BASE]).alias("base"),
