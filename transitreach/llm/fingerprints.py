@@ -17,8 +17,8 @@ sets are compared themselves.)  The likeness is the share of paragraphs in commo
 1 - |difference| / (|A| + |B|); two texts without paragraphs have likeness 1.
 
 Edge cases: a NULL text counts as empty.  Rows that repeat a doc_id stand in
-the order as one document, and their smallest text is the one a predecessor
-sees.  A NULL doc_id stands after the smallest doc_id.  A single document is its
+the order as one document; a predecessor sees the one with the smallest lent
+beginning (by digests where those are equal).  A NULL doc_id stands after the smallest doc_id.  A single document is its
 own successor.  An empty table gives an empty result.  Extra columns are
 ignored.
 
@@ -103,10 +103,14 @@ def versions(docs: DataFrame) -> DataFrame:
     wanted = rows.groupBy("key").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("most"))
     lend = (successors(docs).join(wanted, "key")
             .select(F.col("key").alias("borrower"), F.col("next").alias("key"), "most"))
-    lent = (rows.join(lend, "key").groupBy("borrower")
-            .agg(F.min(F.struct(F.expr("substring(text, 1, most)").alias("front"), "text")).alias("low"))
+    # only the beginning and the digests go on to the borrower; taking doc_id along lets this
+    # join and the last one read one and the same shuffle of the rows
+    lent = (rows.join(lend, "key")
+            .select("borrower", F.struct(F.expr("substring(text, 1, most)").alias("front"),
+                                         digests(F.col("text")).alias("keys"), "doc_id").alias("lent"))
+            .groupBy("borrower").agg(F.min("lent").alias("low"))
             .select(F.col("borrower").alias("key"), F.col("low.front").alias("front"),
-                    digests(F.col("low.text")).alias("next_keys")))
+                    F.col("low.keys").alias("next_keys")))
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.expr("substring(front, 1, cut)"))
     return (rows.join(lent, "key").withColumn("cut", cut)
