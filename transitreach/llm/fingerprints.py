@@ -9,9 +9,10 @@ into a sketch of ``CELLS`` cells, which is the fingerprint.
 
 Two versions are compared by subtracting their fingerprints; peeling the rest
 recovers the digests that only one of them has.  Where the sketch is too small
-for the difference, larger ones are taken: one and a half times as many cells as
-both versions have paragraphs, then twice and four times that, each with other
-cell hashes.  (Should
+for the difference, larger ones are taken: three times as many cells as both
+versions have paragraphs (few keys share a cell, so peeling takes few rounds; only
+cells in use are listed), then twice and four times that, each with other cell
+hashes.  (Should
 all fail, which takes several keys with the same cells in each, the digest
 sets are compared themselves.)  The likeness is the share of paragraphs in common,
 1 - |difference| / (|A| + |B|); two texts without paragraphs have likeness 1.
@@ -59,7 +60,7 @@ def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Colum
 
     only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(
         k.alias("k"), F.lit(n).alias("n")))
-    return F.coalesce(peeled(subtracted(sketch_a, sketch_b), CELLS), larger(1.5, 1), larger(3.0, 2), larger(6.0, 3),
+    return F.coalesce(peeled(subtracted(sketch_a, sketch_b), CELLS), larger(3.0, 1), larger(6.0, 2), larger(12.0, 3),
                       F.concat(only(a, b, 1), only(b, a, -1)))
 
 

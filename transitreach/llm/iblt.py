@@ -122,12 +122,11 @@ def peeled(cells: Column, size: Column | int, salt: int = 0) -> Column:
 def encoded(cells: Column, size: int) -> Column:
     """A dense text of the sketch, of the same length for every set: Base64 of count
     (16 bits), key (64) and check (64) of each cell."""
-    def cell(known, i):
-        return let(F.filter(known, lambda x: x["c"] == i), lambda own: F.when(
-            F.size(own) == 0, F.lit("0" * 36)).otherwise(F.concat(
-                F.lpad(F.hex(F.pmod(own[0]["n"], F.lit(65536))), 4, "0"),
-                F.lpad(F.hex(own[0]["k"]), 16, "0"), F.lpad(F.hex(own[0]["h"]), 16, "0"))))
-
-    numbers = F.sequence(F.lit(0), F.lit(size - 1))
-    packed = let(cells, lambda known: F.transform(numbers, lambda i: cell(known, i)))
-    return F.base64(F.unhex(F.array_join(packed, "")))
+    def cell(known, x, i):       # with the zeros of the unused cells before it
+        last = F.coalesce(F.get(known, i - 1)["c"], F.lit(-1))
+        return F.concat(F.repeat(F.lit("0" * 36), x["c"] - last - 1),
+                        F.lpad(F.hex(F.pmod(x["n"], F.lit(65536))), 4, "0"),
+                        F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"]), 16, "0"))
+
+    used = let(cells, lambda known: F.array_join(F.transform(known, lambda x, i: cell(known, x, i)), ""))
+    return F.base64(F.unhex(F.rpad(used, 36 * size, "0")))
