@@ -49,6 +49,13 @@ def test_greedy_file_name(spark, tmp_path):
     assert (r["source_run"], r["source_apik"], r["source_coverage"]) == ("morning_my", "key", 5)
 
 
+def test_line_break_in_a_quoted_field(spark, tmp_path):
+    write(tmp_path / "morning_k1_0-2.csv", COLS,
+          [[0, "walk\nto stop", "g1", "s1", "WALKING"], [1, "x", "g1", "s2", "TRANSIT"]])
+    rows = {r["destination"]: r for r in load_batches(spark, str(tmp_path)).collect()}
+    assert len(rows) == 2 and rows["s1"]["duration"] == "walk\nto stop" and rows["s2"]["l_number"] == "1"
+
+
 def test_coverage_and_validation(spark, batch_dir):
     stack = load_batches(spark, batch_dir)
     (cov,) = batch_coverage(stack).collect()

@@ -29,7 +29,7 @@ from ..sources import batches as B
 from ..sources import fixtures as fx
 from ..sources import sinks as SK
 from . import roles as R
-from .oracle_tables import (AGENCY, LEG_COLUMNS, PERCENTS, RAW_AGENCY, TRIP_COLUMNS,
+from .oracle_tables import (AGENCY, LEG_COLUMNS, PERCENTS, RAW_AGENCY, TRANSIT_TEXT, TRIP_COLUMNS,
                             TRIP_COUNTS, TRIP_REST, D, clock, with_ctes)
 
 QUERIES: dict[str, tuple] = {}
@@ -531,7 +531,7 @@ def q_agency_color_join(spark, d):
 
 @query("enrolment_join", with_ctes("trips_full") + "SELECT * FROM tf")
 def q_enrolment_join(spark, d):
-    return R.trips_full(spark, d)
+    return T.enrolment_join(R.trips(spark, d), R.schools(spark, d))
 
 
 # ======================================================================== 2.6 aggregation
@@ -780,7 +780,7 @@ def q_schedule_gap(spark, d):
 
 @query("waiting_minutes", with_ctes("legs") + "SELECT odid, run, l_number, t_waiting FROM legs")
 def q_waiting_minutes(spark, d):
-    return R.legs(spark, d).select("odid", "run", "l_number", "t_waiting")
+    return L.clean_legs(R.raw(spark, d)).select("odid", "run", "l_number", "t_waiting")
 
 
 @query("paste_address", with_ctes("schools") + "SELECT school_id, address FROM sch")
@@ -816,12 +816,14 @@ RESP_EXPECTED = with_ctes("facts", extra=(
     "      CASE ln WHEN 1 THEN 'Bus' WHEN 2 THEN 'Ferry' WHEN 3 THEN 'Train' WHEN 4 THEN 'Tram' ELSE 'Subway' END\n"
     "      || ' towards A' || CAST(sk AS VARCHAR) END AS html_instructions,\n"
     "    CASE WHEN walking THEN 'WALKING' ELSE 'TRANSIT' END AS travel_mode,\n"
+    f"    CASE WHEN walking THEN NULL ELSE {TRANSIT_TEXT} END AS transit_details,\n"
+    "    CASE WHEN walking THEN $$[{'travel_mode': 'WALKING'}]$$ ELSE NULL END AS steps,\n"
     f"    {clock('dep_minute')} AS actual_departure, {clock('arr_minute')} AS actual_arrival,\n"
     f"    {D('trip_minutes')} AS total_time, FALSE AS failed\n"
     "  FROM ok\n"
     "  UNION ALL\n"
     "  SELECT origin, destination, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,\n"
-    "         NULL, TRUE FROM ord WHERE bad\n"
+    "         NULL, NULL, NULL, TRUE FROM ord WHERE bad\n"
     ")"))
 
 
@@ -854,9 +856,9 @@ SENTINEL_SELECT = (
     f"CASE WHEN failed THEN '-999' ELSE {_dict_sql([('lat', 'end_lat', False), ('lng', 'end_lng', False)])} END AS end_location, "
     "CASE WHEN failed THEN '-999' ELSE html_instructions END AS html_instructions, "
     f"CASE WHEN failed THEN '-999' ELSE {_dict_sql([('lat', 'start_lat', False), ('lng', 'start_lng', False)])} END AS start_location, "
-    "CASE WHEN failed THEN '-999' ELSE NULL END AS steps, "
+    "CASE WHEN failed THEN '-999' ELSE steps END AS steps, "
     "CASE WHEN failed THEN '-999' ELSE travel_mode END AS travel_mode, "
-    "CASE WHEN failed THEN '-999' ELSE NULL END AS transit_details, origin, destination, "
+    "CASE WHEN failed THEN '-999' ELSE transit_details END AS transit_details, origin, destination, "
     "CASE WHEN failed THEN '-999' ELSE actual_departure END AS actual_departure, "
     "CASE WHEN failed THEN '-999' ELSE actual_arrival END AS actual_arrival, "
     "CASE WHEN failed THEN '-999.0' ELSE CAST(total_time AS VARCHAR) END AS total_time FROM flat")

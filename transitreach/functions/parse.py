@@ -42,6 +42,9 @@ CLOCK_FORMAT = "MM/dd/yyyy h:mm a"   # R: %m/%d/%Y %I:%M %p
 MORNING_SET_CLOCK = "9:00 AM"
 EVENING_SET_CLOCK = "5:00 PM"
 MORNING = "morning"
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[\[\]{}:,]|[^\s\[\]{}:,"]+'
+JSON_TO_PYTHON = ((",", ", "), (":", ": "), ("null", "None"), ("true", "True"), ("false", "False"))
+REPR_ESCAPES = (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\u202f", "\\u202f"), ("\xa0", "\\xa0"))
 
 
 def _epoch_ntz() -> Column:
@@ -141,6 +144,36 @@ def parse_num_stops(c="transit_details") -> Column:
     return try_cast(extract_or_null(c, VEHICLE_NUM_STOPS, 2), "int")
 
 
+def _python_string(token: Column) -> Column:
+    """One JSON string token, quotes included -> the text Python's ``repr`` gives its value."""
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    value = F.when(token.contains("\\"), F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")),
+                                                            "array<string>"), 0)).otherwise(plain)
+    body = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    for char, escape in REPR_ESCAPES:
+        body = F.replace(body, F.lit(char), F.lit(escape))
+    single, double = F.lit("'"), F.lit('"')
+    return F.when(body.contains("'") & ~body.contains('"'), F.concat(double, body, double)) \
+            .otherwise(F.concat(single, F.replace(body, single, F.lit("\\'")), single))
+
+
+def python_text(json_text) -> Column:
+    """JSON text -> the text of the same value printed by Python, keys in their order.
+
+    The fetcher's CSV cells hold dicts and lists printed this way: single quotes (double
+    ones around a value with an apostrophe), ``, `` and ``: `` between the parts, ``None``,
+    ``True`` and ``False``.  NULL stays NULL.
+    """
+    def render(token: Column) -> Column:
+        out = F.when(token.startswith('"'), _python_string(token))
+        for source, target in JSON_TO_PYTHON:
+            out = out.when(token == F.lit(source), F.lit(target))
+        return out.otherwise(token)
+
+    tokens = F.regexp_extract_all(col(json_text), F.lit(JSON_TOKEN), F.lit(0))
+    return F.array_join(F.transform(tokens, render), "")
+
+
 # ---------------------------------------------------------------- times
 def parse_wallclock(text, fmt: str = CLOCK_FORMAT) -> Column:
     """Parse zone-less clock text to TIMESTAMP_NTZ, NULL when it does not parse.

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parse import SENTINEL, unix_to_ntz
+from ..functions.parse import SENTINEL, python_text, unix_to_ntz
 from ..session import scratch_path
+from ..sources.batches import BATCH_COLUMNS, INDEX_COLUMN
 
 # ---- Fixed values: request defaults and time formats of the fetcher ----
 DEFAULT_PREFERENCE = "standard"
@@ -34,6 +35,8 @@ STEP = T.StructType([
     T.StructField("end_location", LAT_LNG), T.StructField("start_location", LAT_LNG),
     T.StructField("html_instructions", T.StringType()), T.StructField("travel_mode", T.StringType()),
     T.StructField("polyline", T.StructType([T.StructField("points", T.StringType())])),
+    # kept as JSON text: their keys differ by step, and the CSV holds them as printed dicts
+    T.StructField("transit_details", T.StringType()), T.StructField("steps", T.StringType()),
 ])
 LEG = T.StructType([
     T.StructField("departure_time", TEXT_VALUE), T.StructField("arrival_time", TEXT_VALUE),
@@ -127,18 +130,28 @@ def _route_leg(response: Column) -> Column:
     return F.get(F.get(parsed, 0)["legs"], 0)
 
 
-def flatten_responses(responses: DataFrame, response_col: str = "response") -> DataFrame:
+def flatten_responses(responses: DataFrame, response_col: str = "response",
+                      keep_walk_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Stored responses -> one row per step of the first route's first leg.
 
     A response without a route, with an empty leg, without leg times, malformed,
     or NULL gives one row with NULL step fields and ``failed = true`` (the
     fetcher's sentinel row).  ``get`` returns NULL out of range, so nothing throws
-    under ANSI mode.
+    under ANSI mode.  ``transit_details`` and the nested ``steps`` come as the dict
+    text of the fetcher's CSV.
+
+    A route on foot only has no leg times, so the fetcher counts it as failed;
+    ``keep_walk_only`` keeps its steps, with NULL times.  ``carry`` names further
+    columns of ``responses`` to pass on.
     """
     leg = _route_leg(F.col(response_col))
     df = responses.withColumn("_leg", leg)
+    untimed = F.col("_leg")["departure_time"].isNull() | F.col("_leg")["arrival_time"].isNull()
+    if keep_walk_only:
+        on_foot = F.forall(F.col("_leg")["steps"], lambda s: s["travel_mode"] == F.lit("WALKING"))
+        untimed = untimed & ~F.coalesce(on_foot, F.lit(False))
     failed = (F.col("_leg").isNull() | F.coalesce(F.size(F.col("_leg")["steps"]) <= 0, F.lit(True))
-              | F.col("_leg")["departure_time"].isNull() | F.col("_leg")["arrival_time"].isNull())
+              | untimed)
     df = df.withColumn("failed", failed)
     steps = F.when(~F.col("failed"), F.col("_leg")["steps"])
     df = df.select("*", F.posexplode_outer(steps).alias("l_number", "step"))
@@ -157,10 +170,12 @@ def flatten_responses(responses: DataFrame, response_col: str = "response") -> D
         F.col("step")["end_location"]["lng"].alias("end_lng"),
         F.col("step")["html_instructions"].alias("html_instructions"),
         F.col("step")["travel_mode"].alias("travel_mode"),
+        python_text(F.col("step")["transit_details"]).alias("transit_details"),
+        python_text(F.col("step")["steps"]).alias("steps"),
         F.when(ok, dep["text"]).alias("actual_departure"),
         F.when(ok, arr["text"]).alias("actual_arrival"),
         F.when(ok, (arr["value"] - dep["value"]).cast("double") / F.lit(60.0)).alias("total_time"),
-        "failed",
+        "failed", *carry,
     )
 
 
@@ -179,9 +194,9 @@ def _dict_text(fields) -> Column:
     return F.concat(*parts)
 
 
-def error_sentinel_rows(flat: DataFrame) -> DataFrame:
+def error_sentinel_rows(flat: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Flattened steps -> rows in the fetcher's CSV text shape; failed pairs become one
-    ``-999`` row that keeps its origin and destination."""
+    ``-999`` row that keeps its origin and destination.  ``carry``: further columns to pass on."""
     ok = ~F.col("failed")
 
     def text(c: Column) -> Column:
@@ -198,14 +213,15 @@ def error_sentinel_rows(flat: DataFrame) -> DataFrame:
         text(F.col("html_instructions")).alias("html_instructions"),
         text(_dict_text([("lat", F.col("start_lat"), False), ("lng", F.col("start_lng"), False)]))
         .alias("start_location"),
-        text(F.lit(None).cast("string")).alias("steps"),
+        text(F.col("steps")).alias("steps"),
         text(F.col("travel_mode")).alias("travel_mode"),
-        text(F.lit(None).cast("string")).alias("transit_details"),
+        text(F.col("transit_details")).alias("transit_details"),
         F.col("origin").cast("string").alias("origin"),
         F.col("destination").cast("string").alias("destination"),
         text(F.col("actual_departure")).alias("actual_departure"),
         text(F.col("actual_arrival")).alias("actual_arrival"),
         F.when(ok, F.col("total_time").cast("string")).otherwise(F.lit("-999.0")).alias("total_time"),
+        *carry,
     )
     return out
 
@@ -220,6 +236,21 @@ def request_defaults(df: DataFrame, depart_time: str | None = None, arrival_time
     })
 
 
+def finished_batch(responses: DataFrame, requested_at: str = "requested_at", response_col: str = "response",
+                   depart_time: str | None = None, arrival_time: str | None = None,
+                   preference: str | None = None, keep_walk_only: bool = False) -> DataFrame:
+    """Stored responses -> the complete rows of one batch file, in ``BATCH_COLUMNS`` order.
+
+    ``requested_at`` is the UTC wall clock of each request; the other request fields hold
+    for the whole batch.  ``sinks.write_batch`` writes the result, ``load_batches`` reads it.
+    """
+    flat = flatten_responses(responses, response_col, keep_walk_only, carry=(requested_at,))
+    rows = error_sentinel_rows(flat, carry=(requested_at,))
+    rows = rows.withColumn("request_time", format_request_time(requested_at))
+    rows = request_defaults(rows, depart_time, arrival_time, preference)
+    return rows.withColumnRenamed("l_number", INDEX_COLUMN).select(*BATCH_COLUMNS)
+
+
 def to_zone_wallclock(ts_utc, zone: str = REQUEST_ZONE) -> Column:
     """UTC wall clock (TIMESTAMP_NTZ) -> the wall clock in ``zone``."""
     ts_utc = F.col(ts_utc) if isinstance(ts_utc, str) else ts_utc
@@ -248,5 +279,5 @@ def parse_desired_time(text, zone: str = REQUEST_ZONE) -> Column:
 
 
 __all__ = ["request_plan", "dense_index", "slice_rows", "flatten_responses", "error_sentinel_rows",
-           "request_defaults", "format_request_time", "parse_desired_time", "to_zone_wallclock",
+           "request_defaults", "finished_batch", "format_request_time", "parse_desired_time", "to_zone_wallclock",
            "RESPONSE_SCHEMA", "STEP_TEXT_COLUMNS"]

@@ -26,6 +26,12 @@ BATCH_NAME = r"(.*)_(.*)_(.*)-(.*)\.csv"
 BATCH_GROUPS = r"^(.*)_([^_]*)_([^_]*)-([^-]*)\.csv"   # same groups as BATCH_NAME's first match
 NULL_TEXT = "NA"
 INDEX_COLUMN = "_c0"                           # the unnamed index column
+BATCH_COLUMNS = (
+    INDEX_COLUMN, "distance", "duration", "end_location", "html_instructions", "start_location",
+    "steps", "travel_mode", "transit_details", "origin", "destination", "actual_departure",
+    "actual_arrival", "total_time", "request_time", "depart_time", "arrival_time",
+    "transit_routing_preference",
+)
 
 
 def header_groups(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
@@ -74,9 +80,11 @@ def list_batch_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def _csv_reader(spark: SparkSession, header: str):
+    # multiLine: a quoted field may hold line breaks.  A file is then one task, which a
+    # batch file (one fetched index range) is sized for
     return (spark.read.schema(_schema_for(header))
             .option("header", True).option("escape", '"').option("nullValue", NULL_TEXT)
-            .option("mode", "PERMISSIVE"))
+            .option("multiLine", True).option("mode", "PERMISSIVE"))
 
 
 def read_batch_group(spark: SparkSession, files: list[str], header: str) -> DataFrame:
@@ -144,6 +152,15 @@ def load_batches(spark: SparkSession, path: str) -> DataFrame:
     if len(groups) == 1:
         (header,) = groups
         return file_metadata(rename_index(read_batch_folder(spark, path, header)))
+    return _stack_groups(spark, groups)
+
+
+def load_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The named batch files (those of one streaming micro-batch), stacked by column name."""
+    return _stack_groups(spark, header_groups(spark, files))
+
+
+def _stack_groups(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
     stacked = None
     for header in sorted(groups):
         part = read_batch_group(spark, groups[header], header)

@@ -124,6 +124,33 @@ def _transit_details(ln: Column) -> Column:
         F.lit("', 'type': '"), _vehicle(ln, 0), F.lit("'}}, 'num_stops': "), _s(ln), F.lit("}"))
 
 
+def _transit_json(ln: Column) -> Column:
+    """The same transit details as the service sends them (``_transit_details`` is their dict text)."""
+    def place(lat: float, letter: str) -> Column:
+        location = F.struct(F.lit(lat).alias("lat"), F.lit(-73.9).alias("lng"))
+        return F.struct(location.alias("location"), F.concat(F.lit(letter), _s("l_suppkey")).alias("name"))
+
+    def time(minute: str) -> Column:
+        return F.struct(F.translate(_clock(F.col(minute)), " ", "\u202f").alias("text"),
+                        F.lit("America/New_York").alias("time_zone"), F.lit(1).alias("value"))
+
+    agency = F.col("p_type")
+    for src, raw in RAW_AGENCY.items():
+        agency = F.when(F.col("p_type") == F.lit(src), F.lit(raw)).otherwise(agency)
+    suffix = F.when(ln == 3, F.lit(", NYC Subway")).otherwise(F.lit(""))
+    line = F.struct(
+        F.array(F.struct(agency.alias("name"), F.lit("1").alias("phone"), F.lit("u").alias("url"))).alias("agencies"),
+        F.concat(F.lit("#"), F.lpad(_s(F.col("l_partkey") % 1000000), 6, "0")).alias("color"),
+        F.when(ln != 5, F.concat(F.col("p_brand"), suffix)).alias("name"),
+        F.concat(F.lit("L"), _s(ln)).alias("short_name"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.lit("#000000")).otherwise(F.lit("#FFFFFF")).alias("text_color"),
+        F.struct(F.lit("i").alias("icon"), _vehicle(ln, 1).alias("name"), _vehicle(ln, 0).alias("type")).alias("vehicle"))
+    return F.struct(
+        place(40.7, "A").alias("arrival_stop"), time("arr_minute").alias("arrival_time"),
+        place(40.6, "S").alias("departure_stop"), time("dep_minute").alias("departure_time"),
+        F.concat(F.lit("H"), _s("l_partkey")).alias("headsign"), line.alias("line"), ln.cast("int").alias("num_stops"))
+
+
 def batch_names(df: DataFrame) -> DataFrame:
     """Batch file fields: run, fetch client, school index range."""
     school = F.col("school_id").cast("bigint")
@@ -306,6 +333,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(_vehicle(ln, 1), F.lit(" towards A"), _s("l_suppkey"))).alias("html_instructions"),
         F.when(F.col("walking"), F.lit("WALKING")).otherwise(F.lit("TRANSIT")).alias("travel_mode"),
         F.struct(F.lit("abc").alias("points")).alias("polyline"),
+        F.when(F.col("walking"), F.array(F.struct(F.lit("WALKING").alias("travel_mode")))).alias("steps"),
+        F.when(~F.col("walking"), _transit_json(ln)).alias("transit_details"),
     )
     per_order = (f.groupBy("l_orderkey").agg(
         F.first("geoid").alias("geoid"), F.first("school_id").alias("school_id"),

@@ -21,7 +21,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def read_csv_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Read a written download with the schema it was written with."""
     return (spark.read.schema(like.schema).option("header", True)
-            .option("nullValue", NULL_TEXT).option("escape", '"').csv(path))
+            .option("nullValue", NULL_TEXT).option("escape", '"').option("multiLine", True).csv(path))
 
 
 def batch_name(run: str, client: str, start: int, end: int) -> str:

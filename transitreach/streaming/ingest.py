@@ -19,22 +19,14 @@ from pyspark.sql import types as T
 
 from ..operators.legs import clean_legs
 from ..session import scratch_path
-from ..sources.batches import INDEX_COLUMN, NULL_TEXT, file_metadata
-
-# ---- Fixed values: the fetcher's batch file columns (one header order per stream) ----
-BATCH_COLUMNS = (
-    INDEX_COLUMN, "distance", "duration", "end_location", "html_instructions", "start_location",
-    "steps", "travel_mode", "transit_details", "origin", "destination", "actual_departure",
-    "actual_arrival", "total_time", "request_time", "depart_time", "arrival_time",
-    "transit_routing_preference",
-)
+from ..sources.batches import BATCH_COLUMNS, NULL_TEXT, load_files
 
 
 def batch_stream(spark: SparkSession, path: str, columns=BATCH_COLUMNS,
                  max_files_per_trigger: int = 16) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     return (spark.readStream.schema(schema).option("header", True).option("escape", '"')
-            .option("nullValue", NULL_TEXT).option("recursiveFileLookup", "true")
+            .option("multiLine", True).option("nullValue", NULL_TEXT).option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", max_files_per_trigger)
             .csv(path)
             .withColumn("source_file", F.col("_metadata.file_path")))
@@ -47,8 +39,13 @@ def start_leg_ingest(spark: SparkSession, in_path: str, out_path: str,
     checkpoint = checkpoint or scratch_path(spark, "ingest-ckpt")
 
     def clean_batch(batch: DataFrame, epoch_id: int) -> None:
-        raw = file_metadata(batch.withColumnRenamed(INDEX_COLUMN, "l_number"))
-        legs = clean_legs(raw, max_minutes=max_minutes)
+        # the stream's one schema maps columns by position, and their order can differ by
+        # file: the micro-batch only names its files (at most ``max_files_per_trigger``),
+        # which are read by their own headers
+        files = [r["source_file"] for r in batch.select("source_file").distinct().collect()]
+        if not files:
+            return
+        legs = clean_legs(load_files(batch.sparkSession, files), max_minutes=max_minutes)
         legs.write.mode("overwrite").partitionBy("run").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
 
     writer = (batch_stream(spark, in_path).writeStream.foreachBatch(clean_batch)
