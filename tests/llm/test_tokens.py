@@ -33,6 +33,15 @@ def test_codec_equals_the_tokenizer():
     assert list(codec.encode_long(texts[0] * 3)) == encoded([texts[0] * 3], 0)[0][:-1]
 
 
+def test_codec_equals_the_tokenizer_on_every_latin_1_character():
+    places = ["{}", "a{}", "{}a", "a{}b", "É{}é", "{}1", "1{}", "1{}2", "{}.", ".{}", ".{}!", "a {} b", "{0}{0}", "A{0}{0}1",
+              "µ{}º", "ª{}1", "a'{}", "{}'s", "don't{}a", "'{}x", "5 {}m", "n{} 3", "1{}lugar"]
+    texts = [p.format(chr(c)) for c in range(256) for p in places]
+    flat, lens = WordCodec(PATH).encode(texts)
+    got = [list(x) for x in np.split(flat, np.cumsum(lens)[:-1])]
+    assert [t for t, g, w in zip(texts, got, encoded(texts, 0)) if g != w[:-1]] == []
+
+
 def test_token_files_round_trip(spark, odd, none, tmp_path):
     path = str(tmp_path / "tokens")
     tokenfiles.write_tokens(odd, path, PATH)

@@ -29,7 +29,7 @@ import pyarrow.compute
 CACHE_WORDS = 400_000        # table size at which it is started anew
 CHUNK_CHARS = 2_000_000      # characters encoded at a time
 
-_LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
+_LETTERS = "A-Za-z\\u00aa\\u00b5\\u00ba\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
 _PLAIN = re.compile("[a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+")
 _PIECES = re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \\n\\t\\r]+")
 _PIECES_APOSTROPHE = re.compile(f"[^ \\n\\t\\r']*'[^ \\n\\t\\r]*|[{_LETTERS}]+|[^{_LETTERS} \\n\\t\\r']+")
