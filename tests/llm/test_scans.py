@@ -1,7 +1,9 @@
 """Secrets, personal data and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,6 +124,29 @@ def test_fingerprints(odd, none):
     assert fingerprints.fingerprint_report(none).count() == 0
 
 
+def word_overlap(a, b):
+    """The share of words in common, counted with their repeats: no cut rule."""
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * (a & b).total() / (a.total() + b.total())
+
+
+def test_likeness_does_not_depend_on_the_text_length(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 80, 2):                  # near copies of a text; doc_id i + 1 has i next
+        text = " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) + rng.choice(["", "", "", "."])
+                        for _ in range(200))[:[401, 403, 450, 700][i // 2 % 4]].rstrip()
+        rows += [(i + 1, text), (i, text[:399 if i < 60 else 350])]
+    table = dict(rows)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_report(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = {i: got[i]["near_next"] - word_overlap(table[i], table[i - 1]) for i in got if i % 2}
+    assert abs(sum(near.values()) / len(near)) < 0.1
+    # some eight paragraphs a text: single pairs scatter, but none with much in common has nothing in common
+    assert max(map(abs, near.values())) < 0.5
+    assert all(got[i]["near_next"] > 0.6 for i in got if i % 2 and len(table[i]) - len(table[i - 1]) < 5)
+
+
 def test_peeling_recovers_the_difference_and_fails_when_too_small(spark):
     keys = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.xxhash64(k)).alias("a"),
                                  F.transform(F.sequence(F.lit(8), F.lit(63)), lambda k: F.xxhash64(k)).alias("b"))

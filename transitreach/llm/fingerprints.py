@@ -1,11 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs -- at line ends, at blanks that follow a sentence
-mark, semicolon or colon, and at blanks that follow a word of twelve characters
-or more, so that text without marks is cut as well; a change moves only the cuts
-beside it.  A text of fewer than ``SHORT`` code points is cut at every blank, as it
-would have too few paragraphs to tell versions apart.  The distinct 64-bit digests of the paragraphs go
-into a sketch of ``CELLS`` cells, which is the fingerprint.
+A text's words (what stands between white space) are cut into paragraphs after
+every word at which the hash of it and the word before falls in a fixed share, one
+in ``SPACING``.  The rule is the same for texts of any length and looks at two words
+only, so equal stretches have equal paragraphs wherever they stand, and a change
+moves only the cuts beside it.  The distinct 64-bit digests of the paragraphs go
+into a sketch of ``CELLS`` cells, which is the fingerprint.  The kind and amount
+of white space between words makes no difference.
 
 Two versions are compared by subtracting their fingerprints; peeling the rest
 recovers the digests that only one of them has.  Where the sketch is too small
@@ -28,24 +29,37 @@ Only DataFrame functions are used; there is no Python on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_of
 from .iblt import difference, encoded, let, peeled, sketch, subtracted
 
-CUTS = r"\x20(?<=[.!?;:]\x20|\S{12}\x20)\x20*|[\n\r]+"
-SHORT_CUTS = r"[\x20\n\r]+"
-SHORT = 400
+WHITE = r"[\x20\x09-\x0D]+"
+SPACING = 8                  # words a paragraph, on average
 CELLS = 24
 NO_ID = -(1 << 63)           # stands for a NULL doc_id: after all others in descending order
 
 
+def _starts(units: Column) -> Column:
+    """Where paragraphs start: the first unit, and those after a cut."""
+    return F.filter(F.sequence(F.lit(0), F.size(units) - 1), lambda i: (i == 0) | (F.pmod(
+        F.xxhash64(F.get(units, i - 2), F.get(units, i - 1)), F.lit(SPACING)) == 0))
+
+
+def _slices(values: Column, starts: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the slices of ``values`` that begin at ``starts``."""
+    return let(starts, lambda at: F.transform(at, lambda i, j: body(
+        F.slice(values, i + 1, F.coalesce(F.get(at, j + 1), F.size(values)) - i))))
+
+
 def digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs."""
-    pieces = F.when(F.length(text) < SHORT, F.split(text, SHORT_CUTS, -1)).otherwise(F.split(text, CUTS, -1))
-    pieces = F.filter(pieces, lambda p: F.length(F.trim(p)) > 0)
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.trim(p))))
+    words = F.array_remove(F.split(text, WHITE, -1), "")
+    return let(words, lambda units: F.when(F.size(units) > 0, F.array_distinct(
+        _slices(units, _starts(units), F.xxhash64))).otherwise(F.array().cast("array<bigint>")))
 
 
 def fingerprint(keys: Column) -> Column:
