@@ -147,6 +147,31 @@ def test_likeness_does_not_depend_on_the_text_length(spark):
     assert all(got[i]["near_next"] > 0.6 for i in got if i % 2 and len(table[i]) - len(table[i - 1]) < 5)
 
 
+def test_texts_without_marks_or_blanks_are_cut_and_repeats_count(spark):
+    rng = random.Random(12)
+    few = [rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(3000)]
+    run = "".join(rng.choices("abcdefghijklmnop0123456789", k=3000))
+    signs = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1500)) + "\U0001F600" * 40
+    rows = []
+    for n, (text, add) in enumerate([(" ".join(few), " zz"), ("spam " * 900, "egg"), (run, "Z"), (signs, "日")]):
+        half = text[:len(text) // 2]
+        # each text, it with a change in its middle, and its first half
+        rows += [(10 * n + 2, text), (10 * n + 1, half + add + text[len(half):]), (10 * n, half)]
+    rows += [(100, "")]
+    got = spark.createDataFrame(rows, "doc_id bigint, text string").select(
+        "doc_id", fingerprints.digests(F.col("text")).alias("keys")).collect()
+    keys = {r["doc_id"]: r["keys"] for r in got}
+    assert keys[100] == [] and all(len(set(k)) == len(k) for k in keys.values())
+
+    def alike(a, b):
+        return 1 - len(set(keys[a]) ^ set(keys[b])) / (len(keys[a]) + len(keys[b]))
+
+    for n in range(4):
+        assert len(keys[10 * n + 2]) > 20
+        assert alike(10 * n + 2, 10 * n + 1) > 0.8
+        assert alike(10 * n + 2, 10 * n) == pytest.approx(2 / 3, abs=0.1)
+
+
 def test_peeling_recovers_the_difference_and_fails_when_too_small(spark):
     keys = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.xxhash64(k)).alias("a"),
                                  F.transform(F.sequence(F.lit(8), F.lit(63)), lambda k: F.xxhash64(k)).alias("b"))

@@ -1,12 +1,16 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's words (what stands between white space) are cut into paragraphs after
-every word at which the hash of it and the word before falls in a fixed share, one
-in ``SPACING``.  The rule is the same for texts of any length and looks at two words
-only, so equal stretches have equal paragraphs wherever they stand, and a change
-moves only the cuts beside it.  The distinct 64-bit digests of the paragraphs go
-into a sketch of ``CELLS`` cells, which is the fingerprint.  The kind and amount
-of white space between words makes no difference.
+A text's units are its words (what stands between white space); a run of more than
+``LONG`` code points without white space counts as that many units of one code
+point.  The text is cut into paragraphs after every unit at which the hash of it and
+the unit before falls in a fixed share, one in ``SPACING``, and every ``MOST`` units
+where no such cut comes sooner, so that repeated words are cut as well.  The rule
+is the same for texts of any length and looks at what stands beside a cut only, so
+equal stretches have equal paragraphs wherever they stand, and a change moves only
+the cuts beside it.  The 64-bit digests of the paragraphs go into a sketch of
+``CELLS`` cells, which is the fingerprint; a paragraph that stands several times has
+a digest for each time.  The kind and amount of white space between words makes no
+difference.
 
 Two versions are compared by subtracting their fingerprints; peeling the rest
 recovers the digests that only one of them has.  Where the sketch is too small
@@ -38,15 +42,18 @@ from .common import materialise, text_of
 from .iblt import difference, encoded, let, peeled, sketch, subtracted
 
 WHITE = r"[\x20\x09-\x0D]+"
-SPACING = 8                  # words a paragraph, on average
+LONG = 24                    # code points of a word; longer runs count by code points
+SPACING = 8                  # units a paragraph, on average
+MOST = 32                    # units a paragraph, at most
 CELLS = 24
 NO_ID = -(1 << 63)           # stands for a NULL doc_id: after all others in descending order
 
 
-def _starts(units: Column) -> Column:
-    """Where paragraphs start: the first unit, and those after a cut."""
-    return F.filter(F.sequence(F.lit(0), F.size(units) - 1), lambda i: (i == 0) | (F.pmod(
-        F.xxhash64(F.get(units, i - 2), F.get(units, i - 1)), F.lit(SPACING)) == 0))
+def _units(text: Column) -> Column:
+    words = F.array_remove(F.split(text, WHITE, -1), "")
+    return F.when(text.rlike(rf"[^\x20\x09-\x0D]{{{LONG + 1}}}"), F.flatten(F.transform(
+        words, lambda w: F.when(F.length(w) > LONG, F.array_remove(F.split(w, ""), "")).otherwise(F.array(w))))
+    ).otherwise(words)
 
 
 def _slices(values: Column, starts: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,10 +62,29 @@ def _slices(values: Column, starts: Column, body: Callable[[Column], Column]) ->
         F.slice(values, i + 1, F.coalesce(F.get(at, j + 1), F.size(values)) - i))))
 
 
+def _starts(units: Column) -> Column:
+    """Where paragraphs start: the first unit, those after a cut, and every ``MOST`` units from there."""
+    cuts = F.filter(F.sequence(F.lit(0), F.size(units) - 1), lambda i: (i == 0) | (F.pmod(
+        F.xxhash64(F.get(units, i - 2), F.get(units, i - 1)), F.lit(SPACING)) == 0))
+    return let(cuts, lambda at: F.flatten(F.transform(at, lambda i, j: F.sequence(
+        i, F.coalesce(F.get(at, j + 1), F.size(units)) - 1, F.lit(MOST)))))
+
+
+def _numbered(found: Column) -> Column:
+    """Digests made distinct: the second and later ones of equal digests by their occurrence number."""
+    def groups(ordered):
+        firsts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (
+            F.get(ordered, i) != F.get(ordered, i - 1)))
+        return F.flatten(_slices(ordered, firsts, lambda same: F.transform(
+            same, lambda k, n: F.when(n == 0, k).otherwise(F.xxhash64(k, n)))))
+
+    return let(found, lambda every: F.when(F.size(F.array_distinct(every)) == F.size(every), every).otherwise(
+        let(F.sort_array(every), groups)))
+
+
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs."""
-    words = F.array_remove(F.split(text, WHITE, -1), "")
-    return let(words, lambda units: F.when(F.size(units) > 0, F.array_distinct(
+    """The 64-bit digests of a text's paragraphs, each a different number."""
+    return let(_units(text), lambda units: F.when(F.size(units) > 0, _numbered(
         _slices(units, _starts(units), F.xxhash64))).otherwise(F.array().cast("array<bigint>")))
 
 
