@@ -4,6 +4,7 @@ import csv
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from transitreach.operators.validate import batch_coverage, error_pairs, od_stats
 from transitreach.sources.batches import load_batches
@@ -49,6 +50,16 @@ def test_greedy_file_name(spark, tmp_path):
     assert (r["source_run"], r["source_apik"], r["source_coverage"]) == ("morning_my", "key", 5)
 
 
+def test_files_of_one_header_send_only_the_header_to_the_driver(spark, tmp_path, monkeypatch):
+    for i in range(6):
+        write(tmp_path / f"morning_k1_{i}-{i + 1}.csv", COLS, [[0, "x", f"g{i}", "s", "WALKING"]])
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    stack = load_batches(spark, str(tmp_path))
+    assert [tuple(r) for rows in seen for r in rows] == [(",".join(COLS),)]
+    assert {r["origin"] for r in stack.collect()} == {f"g{i}" for i in range(6)}
+
+
 def test_line_break_in_a_quoted_field(spark, tmp_path):
     write(tmp_path / "morning_k1_0-2.csv", COLS,
           [[0, "walk\nto stop", "g1", "s1", "WALKING"], [1, "x", "g1", "s2", "TRANSIT"]])

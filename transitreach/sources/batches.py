@@ -5,9 +5,10 @@ can differ between files (the step columns follow the first response's keys),
 and Spark's CSV reader maps columns by position after taking the header of one
 file, so files are grouped by header line and each group is read with its own
 all-string schema; the groups are stacked by name.  The header of each file is
-read by a distributed ``mapInPandas`` task (a few bytes per file); only the
-small (header, files) table reaches the driver, which already holds the file
-listing for any scan.
+read by distributed ``mapInPandas`` tasks (a few bytes per file) and written as a
+(path, header) table; the driver asks it for two distinct headers.  Only where
+there are two does it also take the table's rows, as each file is read
+once, by its own header; the driver already holds the file listing for any scan.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import try_cast
+from ..session import scratch_path
 
 # ---- Fixed values: batch file name pattern and CSV conventions of the fetcher ----
 BATCH_NAME = r"(.*)_(.*)_(.*)-(.*)\.csv"
@@ -34,11 +36,8 @@ BATCH_COLUMNS = (
 )
 
 
-def header_groups(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """Header line -> files having it, read in parallel on the executors."""
-    if not files:
-        return {}
-
+def file_headers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``path, header``: each file's header line, read in parallel on the executors and written once."""
     def first_lines(batches):
         # defined inside so it ships to the executors by value
         import pyarrow.fs as pafs
@@ -59,11 +58,18 @@ def header_groups(spark: SparkSession, files: list[str]) -> dict[str, list[str]]
 
     paths = spark.createDataFrame([(f,) for f in files], "path string")
     n = max(1, min(len(files), spark.sparkContext.defaultParallelism))
-    rows = (paths.repartition(n)
-                 .mapInPandas(first_lines, "path string, header string")
-                 .groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files"))
-                 .collect())
-    return {r["header"]: list(r["files"]) for r in rows}
+    schema = "path string, header string"
+    folder = scratch_path(spark, "batch_headers")
+    paths.repartition(n).mapInPandas(first_lines, schema).write.parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def header_groups(headers: DataFrame) -> dict[str, list[str]]:
+    """Header line -> files having it."""
+    groups = {}
+    for r in headers.collect():
+        groups.setdefault(r["header"], []).append(r["path"])
+    return {header: sorted(files) for header, files in groups.items()}
 
 
 def _schema_for(header: str) -> T.StructType:
@@ -148,16 +154,16 @@ def load_batches(spark: SparkSession, path: str) -> DataFrame:
     files = list_batch_files(spark, path)
     if not files:
         raise FileNotFoundError(f"no batch .csv files under {path}")
-    groups = header_groups(spark, files)
-    if len(groups) == 1:
-        (header,) = groups
-        return file_metadata(rename_index(read_batch_folder(spark, path, header)))
-    return _stack_groups(spark, groups)
+    headers = file_headers(spark, files)
+    distinct = headers.select("header").distinct().limit(2).collect()
+    if len(distinct) == 1:
+        return file_metadata(rename_index(read_batch_folder(spark, path, distinct[0]["header"])))
+    return _stack_groups(spark, header_groups(headers))
 
 
 def load_files(spark: SparkSession, files: list[str]) -> DataFrame:
     """The named batch files (those of one streaming micro-batch), stacked by column name."""
-    return _stack_groups(spark, header_groups(spark, files))
+    return _stack_groups(spark, header_groups(file_headers(spark, files)))
 
 
 def _stack_groups(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
