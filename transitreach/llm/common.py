@@ -34,6 +34,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+
+
 def text_of(text: str | Column = "text") -> Column:
     """The text, a NULL text as the empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -49,3 +57,24 @@ def packed(df: DataFrame, name: str = "_row") -> DataFrame:
     """Every column of ``df`` in one struct, so that an operator's own columns
     cannot clash with the table's; ``select(name + ".*")`` restores them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def join_unique(rows: DataFrame, table: DataFrame, on: str | list[str], weight: str, total: int,
+                most: int, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined to ``table``, whose keys are unique and not NULL, without a hot task.
+
+    ``weight`` is (at least) the number of rows that have a key, ``total`` that of all
+    rows.  A table of up to ``most`` counted rows is broadcast.  A larger one is split:
+    keys that at least one row in ``share`` has are broadcast, and only the rows of the
+    others are shuffled.
+    """
+    on = [on] if isinstance(on, str) else on
+    size = table.count()
+    if size <= most:
+        return rows.join(F.broadcast(table), on, "left")
+    heavy = table.where(F.col(weight) * F.lit(share) >= F.lit(total))
+    heavy = broadcast_if(heavy, heavy.count(), most)
+    light = table.where(F.col(weight) * F.lit(share) < F.lit(total))
+    return rows.join(heavy, on).unionByName(
+        rows.join(heavy.select(*on), on, "left_anti").join(light, on, "left").select(
+            *rows.join(heavy, on).columns))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 from . import (exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, secrets, tokenfiles,
-               toxicity)
-from .common import documents, labels
+               toxicity, warc)
+from .common import documents, labels, pages
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -56,6 +56,10 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op13_segment_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_captures(pages(spark, sf_dir), scratch_path(spark, "warc"))
+
+
 QUERIES = {
     "op1_bbit_minhash": (op1_bbit_minhash, near_dedup.ORACLE_SQL),
     "op2_poisson_mix": (op2_poisson_mix, mixing.ORACLE_SQL),
@@ -67,5 +71,6 @@ QUERIES = {
     "op8_toxicity_chain": (op8_toxicity_chain, None),
     "op9_tier_packing": (op9_tier_packing, None),
     "op10_heavy_hitter_dedup": (op10_heavy_hitter_dedup, exact_dedup.ORACLE_SQL),
+    "op13_segment_warc": (op13_segment_warc, warc.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
