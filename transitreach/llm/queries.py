@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import (exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, secrets, tokenfiles,
+from . import (collocations, exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, secrets, tokenfiles,
                toxicity, warc)
 from .common import documents, labels, pages
 
@@ -56,6 +56,10 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_segment_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(pages(spark, sf_dir), scratch_path(spark, "warc"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_toxicity_chain": (op8_toxicity_chain, None),
     "op9_tier_packing": (op9_tier_packing, None),
     "op10_heavy_hitter_dedup": (op10_heavy_hitter_dedup, exact_dedup.ORACLE_SQL),
+    "op12_quotient_collocations": (op12_quotient_collocations, collocations.ORACLE_SQL),
     "op13_segment_warc": (op13_segment_warc, warc.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
