@@ -7,9 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import (collocations, exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, secrets, tokenfiles,
+from . import (collocations, dialogue_trie, exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, secrets, tokenfiles,
                toxicity, warc)
-from .common import documents, labels, pages
+from .common import conversations, documents, labels, pages
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -56,6 +56,10 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op11_parentheses_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_trie.trie(conversations(spark, sf_dir))
+
+
 def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_toxicity_chain": (op8_toxicity_chain, None),
     "op9_tier_packing": (op9_tier_packing, None),
     "op10_heavy_hitter_dedup": (op10_heavy_hitter_dedup, exact_dedup.ORACLE_SQL),
+    "op11_parentheses_trie": (op11_parentheses_trie, dialogue_trie.ORACLE_SQL),
     "op12_quotient_collocations": (op12_quotient_collocations, collocations.ORACLE_SQL),
     "op13_segment_warc": (op13_segment_warc, warc.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
