@@ -196,18 +196,19 @@ def frequent(filters: DataFrame, occurrences: int, bits: int, prefix_bits: int,
     """``ids, a``: the n-grams that the merged filters count at least ``least`` times."""
     spark, widths = filters.sparkSession, {n: quotient.halves(n, bits) for n in range(2, WORDS + 1)}
 
-    while (rows := -(-occurrences // (1 << prefix_bits))) > group and prefix_bits < bits:
-        prefix_bits = min(bits, prefix_bits + step)
-
-        def narrower(key, table, to=prefix_bits):
+    def narrower(to):
+        def run(key, table):
             n, _, part = (k.as_py() for k in key)
             found = quotient.merged(table.column("filter").to_pylist(), *widths[n])
             return pa.Table.from_batches([_filter_rows([(n, block, part, data) for block, data in quotient.filters(
                 *found, *widths[n], to)])])
+        return run
 
-        filters = materialise(spark, filters.groupBy(
-            "n", "block", F.pmod(F.xxhash64("part"), F.lit(-(-rows // group))).alias("part"))
-            .applyInArrow(narrower, _FILTER), "phrase_filters")
+    while (rows := -(-occurrences // (1 << prefix_bits))) > group and prefix_bits < bits:
+        prefix_bits = min(bits, prefix_bits + step)
+        dealt = filters.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(-(-rows // group))))
+        filters = materialise(spark, dealt.groupBy("n", "block", "part").applyInArrow(narrower(prefix_bits), _FILTER),
+                              "phrase_filters")
 
     def final(key, table):
         n = key[0].as_py()
