@@ -216,41 +216,61 @@ def subtree_sums(shard: pa.Table) -> pa.Table:
 
 
 # ---------------------------------------------------------------- ends
-def _pieces(batches):
-    node, first, held = None, None, []
+def _batched(rows, names, last):
+    """Rows of longs and one text in batches."""
+    held, size = [], 0
+
+    def batch():
+        columns = list(zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(list(v), pa.string() if n == last else pa.int64())
+                                           for n, v in zip(names, columns)], names=names)
+
+    for row in rows:
+        held.append(row)
+        size += 100 + len(row[-1])
+        if size >= EMIT_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
-    def closed():
-        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (*node, first)] + [pa.array([",".join(map(str, held))])],
-                                          names=[*_NODE, "first", "ids"])
 
+def _keyed(batches):
     for batch in batches:
-        for *key, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for *key, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            yield key, value
+
+
+def _pieces(batches):
+    def rows():
+        node, held = None, []
+        for key, c in _keyed(batches):
             if key != node or len(held) >= PIECE_IDS:
                 if held:
-                    yield closed()
-                node, first, held = key, c, []
+                    yield *node, held[0], ",".join(map(str, held))
+                node, held = key, []
             held.append(c)
-    if held:
-        yield closed()
+        if held:
+            yield *node, held[0], ",".join(map(str, held))
 
+    yield from _batched(rows(), [*_NODE, "first", "ids"], "ids")
 
-def _digests(batches):
-    node, state = None, None
-
-    def closed():
-        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (*node, state.hexdigest())], names=[*_NODE, "ends_sha256"])
 
-    for batch in batches:
-        for *key, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
+def _digests(batches):
+    def rows():
+        node, state = None, None
+        for key, ids in _keyed(batches):
             if key == node:
                 state.update(b",")
             else:
                 if state is not None:
-                    yield closed()
+                    yield *node, state.hexdigest()
                 node, state = key, hashlib.sha256()
             state.update(ids.encode())
-    if state is not None:
-        yield closed()
+        if state is not None:
+            yield *node, state.hexdigest()
+
+    yield from _batched(rows(), [*_NODE, "ends_sha256"], "ends_sha256")
 
 
 def end_digests(everyone: DataFrame, turns: DataFrame) -> DataFrame:
