@@ -88,6 +88,53 @@ def test_large_family_is_compared_completely(spark):
         brute_components(rows, 2, 80))
 
 
+def unlike(seed, n=60):
+    import random
+    rng = random.Random(seed)
+    return [f"t{seed}w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_repeated_ids_stand_for_their_texts(spark):
+    a, b, c = (unlike(k) for k in range(3))
+    rows = [(1, a), (2, a + ["x"]), (2, b), (3, c), (3, b + ["y"]), (4, c + ["z"]), (4, c + ["z"]), (5, []), (5, []), (5, a[::-1]),
+            (None, b), (7, unlike(9)), (7, unlike(9) + ["q"])]
+    docs = spark.createDataFrame([(i, " ".join(w), "x", 1) for i, w in rows], "doc_id bigint, text string, label string, s1 int")
+    got = near_dedup.near_groups(docs, width=2).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted(
+        brute_components([(i, " ".join(w)) for i, w in rows], 2, 80))
+    out = near_dedup.near_dedup(docs)
+    assert out.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), r["text"].split()[:1]) for r in out.collect())
+    assert kept == sorted([("1", a[:1]), ("2", b[:1]), ("3", c[:1]), ("5", []), ("5", []), ("5", a[-1:]), ("None", b[:1]),
+                           ("7", unlike(9)[:1])])
+
+
+def test_open_buckets_are_settled_in_linear_rows(spark):
+    """Many texts of one passage that do not link, and a group around a base that does: no text meets all others."""
+    import random
+    rng = random.Random(4)
+    passage, base = unlike(1, 50), unlike(2, 80)
+    rows = [(i, passage + [f"p{i}x{k}" for k in range(rng.randrange(14, 60))]) for i in range(400)]
+    for i in range(400, 800):
+        own = list(base)
+        for k in rng.sample(range(80), rng.randrange(1, 8)):
+            own[k] = f"b{i}x{k}"
+        rows.append((i, own))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    links = near_dedup._Links(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 80)
+    links.leader_round(0)
+    before = links._open(links.labels).select("rep").distinct().count()
+    gone, apart = links.settle()
+    assert gone > 350 and apart.count() == before - gone
+    links.leader_round(1, apart)
+    links.close_families()
+    dealt = [x for side in links._dealt(links._open(links.labels).join(
+        links.planes.select("id", "n_shingles"), links.buckets["rep"] == links.planes["id"]), near_dedup.BLOCK) for x in side.collect()]
+    assert len(dealt) <= 4 * links.buckets.count()
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted(brute_components(rows, 2, 80))
+
+
 def test_estimate_is_collision_corrected():
     import numpy as np
     rng = np.random.default_rng(1)

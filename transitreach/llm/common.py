@@ -17,10 +17,10 @@ def materialise(spark: SparkSession, df: DataFrame, name: str, files: int | None
     Cuts the lineage with files every executor can read, so a lost executor
     re-reads them instead of re-deriving them.  ``files``, sized by the caller from
     counted rows, keeps a small table from being written as one file per shuffle
-    partition.
+    partition; the rows are dealt anew for it, so the steps before keep their tasks.
     """
     if files is not None:
-        df = df.coalesce(files)
+        df = df.repartition(files)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -45,6 +45,7 @@ from .parentheses import Parentheses
 FAMILY, HEADS = 20, 4            # conversations that share beginnings; head lengths 0 to 3
 SHARD_NODES = 100_000            # path nodes of one shard, about
 PIECE_IDS = 20_000               # conv_ids in one piece of a list
+EMIT_BYTES = 1_000_000       # of rows in one Arrow batch
 MOST_BROADCAST = 500_000         # conversations or nodes: some longs each
 
 _NODE = ["d", "x1", "x2"]

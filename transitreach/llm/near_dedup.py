@@ -14,13 +14,24 @@
 Within a band bucket pairs are not enumerated.  In each round every bucket offers
 its members one leader, another one each round; a member is confirmed against the
 most similar of the leaders that pass the bit-count test, and members that a
-round has brought together are not compared again.  Every pair that passes the
-bit-count test also joins the two in one family, and bucket members of different
-families are compared by bit counts in blocks until no pair passes.  So any pair
-that could be a link lies within a family.  Families that still hold several
-components are then compared completely: all members outside the largest
-component against all members, in blocks of about ``BLOCK`` rows a side.  Only
-links that join two components leave a block.
+round has brought together are not compared again.
+
+What is then still in buckets of several components is settled by counting: a
+shingle that no other class in an open bucket has cannot be shared, so a class
+with more than a fifth of such shingles (at a threshold of 0.8) links with nothing
+and leaves.  The count takes one pass over the open classes' shingles, whatever
+their number, and also names each bucket's most central member, the one with the
+smallest such share, which leads the next round.  Counting and round are done up to
+``SETTLINGS`` times.
+
+Every pair that passes the bit-count test also joins the two in one family, and
+bucket members of different families are compared by bit counts until no pair
+passes.  So any pair that could be a link lies within a family, and families that
+still hold several components are compared completely.  In both, only what stands
+outside the largest family (component) is compared with all, and only with sizes
+that can reach the threshold: rows stand in their size class and the next one.
+Such groups are dealt in blocks of about ``BLOCK`` rows a side.  Only links that
+join two components leave a block.
 
 What may be lost is set by the signature: a pair of exactly 0.8 shares no band
 with probability (1 - 0.8^4)^32 < 5e-8, and fails the bit-count test with a
@@ -28,15 +39,16 @@ probability below ``LOSS``.
 
 Edge cases: a NULL or empty text has an empty set and links with nothing.  A
 row without a doc_id takes the component of its equals that have one; it links
-nothing itself, and if it has no such equals its component is NULL.  Rows that
-repeat a doc_id are in one component through their common doc_id only if their
-texts link.  An empty table gives an empty result.  Extra columns, whatever
+nothing itself, and if it has no such equals its component is NULL.  Links are between
+texts: rows that repeat a doc_id are in one component only if their texts link, and
+``near_dedup`` keeps one row of each component.  An empty table gives an empty result.  Extra columns, whatever
 their names, are ignored by ``near_groups`` and returned unchanged by
 ``near_dedup``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -44,6 +56,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
 from .common import broadcast_if, materialise, packed
@@ -52,8 +65,10 @@ from .wordcodec import text_chunks
 
 HASHES, BITS, BAND_ROWS = 128, 4, 4
 LOSS = 1e-6              # chance that the bit-count test drops a pair at the threshold
-ROUNDS = 4               # leader rounds before the rest is compared in blocks
-BLOCK = 128              # rows a side of a block of a bucket or family
+ROUNDS = 2               # leader rounds before counting
+SETTLINGS = 2            # rounds of counting and central leaders at most
+BLOCK = 1024             # rows a side of a block of a bucket, by bit counts
+FAMILY_BLOCK = 128       # rows a side of a block of a family, with their full sets
 MOST_BROADCAST_IDS = 1_000_000     # one or two longs each
 ROWS_A_FILE = 200_000              # of small tables of ids
 
@@ -119,20 +134,33 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SIGNATURE)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id, values``: the shingle sets of the documents named in ``ids``."""
+def _digested(texts: list[str], width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    sets = shingles.shingle_sets(texts, width)
+    return sets, np.array([shingles.set_digest(x) for x in sets], dtype=np.int64).reshape(-1, 2)
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, size: int, width: int) -> DataFrame:
+    """``id, values``: the shingle sets of the classes ``rep, least, s1, s2``, from rows of their smallest doc_id.
+
+    A doc_id that repeats may stand for several texts, so a row counts for a class only
+    if its set has the class's digest; a row that repeats gives its set again.
+    """
     def run(batches):
         for part, texts in text_chunks(batches, most=shingles.CHUNK_BYTES):
-            sets = shingles.shingle_sets(texts, width)
+            sets, digests = _digested(texts, width)
+            own = np.column_stack([part.column(i).to_numpy() for i in (2, 3)]) if part.num_rows else digests
+            at = np.flatnonzero((own == digests).all(axis=1))
+            sets = [sets[i] for i in at]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))],
+                [part.column(0).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))],
                 names=["id", "values"])
 
-    wanted = broadcast_if(ids, ids.count(), MOST_BROADCAST_IDS)
-    named = (docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-             .join(wanted, "id", "left_semi"))
+    wanted = broadcast_if(classes.select(F.col("least").alias("doc_id"), F.col("rep").alias("id"), "s1", "s2"), size,
+                          MOST_BROADCAST_IDS // 2)
+    named = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
+             .select("id", "text", "s1", "s2"))
     return named.mapInArrow(run, "id bigint, values array<bigint>")
 
 
@@ -144,10 +172,10 @@ class _Links:
         self.least = least_agreeing(threshold / 100)
         self.rows = materialise(self.spark, signatures(docs, width), "near_signatures")
         shingled = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.classes = materialise(self.spark, shingled.groupBy("s1", "s2").agg(
-            F.min("doc_id").alias("rep")), "near_classes")
-        reps = (shingled.join(self.classes, ["s1", "s2"]).where("doc_id = rep")
-                .dropDuplicates(["rep", "s1", "s2"]))
+        # a class is known by a number of its own; doc_ids may repeat
+        self.classes = materialise(self.spark, shingled.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
+                                   .withColumn("rep", F.monotonically_increasing_id()), "near_classes")
+        reps = (shingled.join(self.classes, ["s1", "s2"]).where("doc_id = least").dropDuplicates(["s1", "s2"]))
         banded = reps.select("rep", F.explode("bands").alias("key"))
         shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         # only buckets of two classes and more, with the signatures of those in them
@@ -159,8 +187,10 @@ class _Links:
         self.files = self.members // ROWS_A_FILE + 1
         self.planes = materialise(self.spark, reps.join(members, "rep").select(
             F.col("rep").alias("id"), "n_shingles", *PLANES), "near_planes", 4 * self.files)
-        self.sets = materialise(self.spark, full_sets(docs, members.select(F.col("rep").alias("id")), width),
+        self.sets = materialise(self.spark, full_sets(docs, self.classes.join(members, "rep"), self.members, width),
                                 "near_sets")
+        if self.sets.count() > self.members:
+            self.sets = materialise(self.spark, self.sets.dropDuplicates(["id"]), "near_sets")
         self.nodes = members.select(F.col("rep").alias("node"))
         self.links = self.near = self._none()        # confirmed, and those that pass the bit-count test
         self.labels = self.families = self.nodes.withColumn("component", F.col("node"))
@@ -199,12 +229,18 @@ class _Links:
                                                F.count(F.lit(1)).alias("size")).where("lo <> hi"))
         return labelled.join(several, "key").select("key", "rep", "label", "size")
 
-    def leader_round(self, number: int) -> int:
-        """Compare each bucket's members with one leader of another component."""
+    def leader_round(self, number: int, apart: DataFrame | None = None) -> int:
+        """Compare each bucket's members with one leader of another component.
+
+        The leader is the one whose share of shingles of its own (``rep, share`` in
+        ``apart``) is smallest, or without that one by a hash that changes from round to round.
+        """
         salt = F.lit((0x9E3779B97F4A7C1 * number) & 0x7FFFFFFFFFFFFFFF)      # round 0: the smallest
         opened = materialise(self.spark, self._open(self.labels), f"near_open_{number}", self.bucket_files)
-        leaders = (opened.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("least"))
-                   .select("key", F.col("least").bitwiseXOR(salt).alias("leader"))
+        ranked = opened.withColumn("share", F.lit(0.0)) if apart is None else opened.join(
+            broadcast_if(apart.select("rep", "share"), self.members, MOST_BROADCAST_IDS), "rep")
+        leaders = (ranked.groupBy("key").agg(F.min(F.struct("share", F.col("rep").bitwiseXOR(salt).alias("r"))).alias("least"))
+                   .select("key", F.col("least.r").bitwiseXOR(salt).alias("leader"))
                    .join(self.labels.select(F.col("node").alias("leader"), F.col("component").alias("own")), "leader"))
         pairs = opened.join(leaders, "key").where("label <> own").select("rep", "leader").distinct()
         passing = materialise(self.spark, (
@@ -216,24 +252,72 @@ class _Links:
         best = passing.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("leader")).alias("leader"))).alias("best"))
         return self._confirm(best.select(F.col("rep").alias("a"), (-F.col("best.leader")).alias("b")), str(number))
 
+    def settle(self) -> tuple[int, DataFrame]:
+        """Take the classes out of the buckets that no class of an open bucket can link with.
+
+        Returns how many went, and of those that stay (``rep, share``) the share of shingles
+        that no other open class has.
+        """
+        opened = materialise(self.spark, self._open(self.labels).select("rep").distinct(), "near_unsettled", self.files)
+        size = opened.count()
+        wanted = broadcast_if(opened.withColumnRenamed("rep", "id"), size, MOST_BROADCAST_IDS)
+        sets = self.sets.join(wanted, "id", "left_semi")
+        alone = (sets.select("id", F.explode("values").alias("v"))
+                 .groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n = 1")
+                 .groupBy("rep").agg(F.count(F.lit(1)).alias("alone")))
+        apart = materialise(self.spark, (
+            self.planes.select(F.col("id").alias("rep"), "n_shingles").join(
+                broadcast_if(opened, size, MOST_BROADCAST_IDS), "rep")
+            .join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+            .where((F.col("n_shingles") - F.col("alone")) * 100 >= F.col("n_shingles") * self.threshold)
+            .select("rep", (F.col("alone") / F.col("n_shingles")).alias("share"))), "near_apart", self.files)
+        stay = apart.count()
+        self.buckets = materialise(self.spark, self.buckets.join(
+            broadcast_if(apart.select("rep"), stay, MOST_BROADCAST_IDS), "rep", "left_semi").select("key", "rep"),
+            "near_buckets", self.bucket_files)
+        return size - stay, apart
+
+    def _dealt(self, rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+        """Rows ``key, rep, label, n_shingles`` of groups (``key``) dealt to blocks ``key, s, i, j``.
+
+        ``s`` is a size class; a row stands at home in its own and as a visitor in the next, which
+        is where all sizes meet it that can reach the threshold.  In each (key, s) with several
+        labels the rows outside the most frequent one are the first result, all rows the second;
+        every row of the one meets every row of the other in exactly one block.
+        """
+        # a class is a little wider than the ratio of sizes that can link, so rounding does no harm
+        own = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / (self.threshold - 1)))).cast("int")
+        rows = rows.withColumn("at", F.explode(F.array(F.struct(own.alias("s"), F.lit(True).alias("home")),
+                                                       F.struct((own + 1).alias("s"), F.lit(False).alias("home")))))
+        rows = rows.select("key", "rep", "label", "at.s", "at.home")
+        sizes = rows.groupBy("key", "s", "label").agg(F.count(F.lit(1)).alias("n"))
+        several = (sizes.groupBy("key", "s").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"),
+                                                 F.count(F.lit(1)).alias("labels")).where("labels > 1")
+                   .select("key", "s", F.col("top.label").alias("main"),
+                           F.ceil(F.col("size") / block).cast("int").alias("na"),
+                           F.ceil((F.col("size") - F.col("top.n")) / block).cast("int").alias("ns")))
+        rows = materialise(self.spark, rows.join(several, ["key", "s"]), "near_dealt", 2 * self.bucket_files)
+
+        def hashed(n, salt):
+            return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+
+        outside = rows.where("label <> main").withColumns({
+            "i": hashed("ns", 2), "j": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
+        every = rows.withColumns({"j": hashed("na", 1), "i": F.explode(F.sequence(F.lit(0), F.col("ns") - 1))})
+        return outside, every
+
     def close_families(self) -> None:
         """Join families until no bucket holds a pair of two families that passes the bit-count test."""
         while True:
             self.families = self._labelled(self.near.unionByName(self.links), "near_families")
-            blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-            rest = self._open(self.families).withColumn("n", blocks).withColumn(
-                "own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-            rest = materialise(self.spark, rest.join(self.planes, F.col("rep") == F.col("id")).drop("id"), "near_rest",
-                               4 * self.bucket_files)
-            # blocks i <= j of a bucket meet: a row of block k stands left in (k, k) ... (k, n - 1)
-            # and right in (0, k) ... (k, k)
-            left = rest.withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.col("own"), F.col("n") - 1))})
-            right = rest.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0), F.col("own")))})
-            x, y = left.alias("x"), right.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i"))
-                           & (F.col("x.j") == F.col("y.j")) & (F.col("x.label") != F.col("y.label"))
-                           & ((F.col("x.own") != F.col("y.own")) | (F.col("x.rep") < F.col("y.rep")))
-                           & (agreeing("x", "y") >= self.least))
+            sizes = self.planes.select(F.col("id").alias("rep"), "n_shingles")
+            rest = self._open(self.families).join(broadcast_if(sizes, self.members, MOST_BROADCAST_IDS), "rep")
+            outside, every = (side.join(self.planes.drop("n_shingles"), F.col("rep") == F.col("id")).drop("id")
+                              for side in self._dealt(rest, BLOCK))
+            x, y = outside.alias("x"), every.alias("y")
+            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "s", "i", "j")]
+            pairs = x.join(y, reduce(Column.__and__, same) & (F.col("x.label") != F.col("y.label"))
+                           & (F.col("x.home") | F.col("y.home")) & (agreeing("x", "y") >= self.least))
             # one pair of each two families is enough to join them
             found = materialise(self.spark, pairs.groupBy(
                 F.least("x.label", "y.label").alias("a"), F.greatest("x.label", "y.label").alias("b"))
@@ -243,32 +327,23 @@ class _Links:
             self.near = self.near.unionByName(found)
 
     def compare_families(self) -> None:
-        """Compare all members of different components within a family, in blocks."""
-        rows = self.labels.join(self.families.select("node", F.col("component").alias("family")), "node")
-        sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = (sizes.groupBy("family").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"),
-                                               F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
-                   .where("parts > 1").select("family", "size", F.col("top.n").alias("most"),
-                                              (-F.col("top.c")).alias("main")))
-        several = materialise(self.spark, rows.join(largest, "family"), "near_several", self.files)
-        tasks = several.count() // BLOCK + 1
-
-        def blocks(rows):
-            return F.ceil(rows / F.lit(BLOCK)).cast("int")
-
-        def hashed(n, salt):
-            return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-
-        several = several.withColumns({"na": blocks(F.col("size")), "ns": blocks(F.col("size") - F.col("most"))})
-        # families of one block share tasks
-        several = several.withColumn("task", F.when(F.col("na") > 1, F.col("family")).otherwise(
-            F.pmod(F.xxhash64("family"), F.lit(tasks))))
-        every = several.withColumns({"side": F.lit(False), "j": hashed("na", 1),
-                                     "i": F.explode(F.sequence(F.lit(0), F.col("ns") - 1))})
-        outside = several.where("component <> main").withColumns({
-            "side": F.lit(True), "i": hashed("ns", 2), "j": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
-        placed = every.unionByName(outside).select(
-            "task", (F.col("na") > 1).alias("large"), "i", "j", "side", "family", "component", "node")
+        """Compare all members of different components within a family, in blocks.
+
+        What ``settle`` took out of the buckets has no link left to find.
+        """
+        unsettled = self._open(self.labels).select(F.col("rep").alias("node")).distinct()
+        rows = self.labels.join(self.families.select("node", F.col("component").alias("family")), "node").join(
+            broadcast_if(unsettled, self.members, MOST_BROADCAST_IDS), "node", "left_semi")
+        sizes = self.planes.select(F.col("id").alias("node"), "n_shingles")
+        rows = rows.join(broadcast_if(sizes, self.members, MOST_BROADCAST_IDS), "node").select(
+            F.col("family").alias("key"), F.col("node").alias("rep"), F.col("component").alias("label"), "n_shingles")
+        outside, every = self._dealt(rows, FAMILY_BLOCK)
+        tasks = rows.count() // FAMILY_BLOCK + 1
+        # groups of one block share tasks
+        task = F.when(F.col("na") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key", "s"), F.lit(tasks)))
+        placed = outside.withColumn("side", F.lit(True)).unionByName(every.withColumn("side", F.lit(False))).select(
+            task.alias("task"), F.when(F.col("na") > 1, F.col("s")).otherwise(-1).alias("large"), "i", "j", "side",
+            F.col("key").alias("family"), "s", "home", F.col("label").alias("component"), F.col("rep").alias("node"))
         placed = (placed.join(self.planes.withColumnRenamed("id", "node"), "node")
                   .join(self.sets.withColumnRenamed("id", "node"), "node"))
         self._linked(materialise(self.spark, placed.groupBy("task", "large", "i", "j").applyInPandas(
@@ -284,13 +359,13 @@ def _block_links(least: int, threshold: int):
         values = [np.asarray(v, dtype=np.int64) for v in a["values"]]
         sizes = np.array([len(v) for v in values], dtype=np.int64)
         words = HASHES // 64
-        family, component, node = (a[c].to_numpy() for c in ("family", "component", "node"))
-        for row, own, f, c, v in zip(planes_s, s["node"], s["family"], s["component"], s["values"]):
+        family, level, home, component, node = (a[c].to_numpy() for c in ("family", "s", "home", "component", "node"))
+        for row, own, f, p, h, c, v in zip(planes_s, *(s[x] for x in ("node", "family", "s", "home", "component", "values"))):
             differ = np.zeros(len(a), dtype=np.int64)
             for w in range(words):
                 x = planes_a[:, w::words] ^ row[w::words]
                 differ += np.bitwise_count(np.bitwise_or.reduce(x, axis=1))
-            at = np.flatnonzero((HASHES - differ >= least) & (family == f) & (component != c))
+            at = np.flatnonzero((HASHES - differ >= least) & (family == f) & (level == p) & (home | h) & (component != c))
             if not len(at):
                 continue
             mine = np.sort(np.asarray(v, dtype=np.int64))
@@ -312,45 +387,73 @@ def near_links(docs: DataFrame, width: int = 5, threshold: int = 80) -> _Links:
     for number in range(ROUNDS):
         if not links.leader_round(number):
             break
+    for number in range(ROUNDS, ROUNDS + SETTLINGS):
+        gone, apart = links.settle()
+        if not links.leader_round(number, apart) and not gone:
+            break
     links.close_families()
     links.compare_families()
     return links
 
 
+def _grouped(links: _Links) -> DataFrame:
+    """Each row's ``doc_id, n_shingles, s1, s2, label, component_id`` (label: of the component, by number)."""
+    named = links.classes.join(broadcast_if(links.labels, links.members, MOST_BROADCAST_IDS),
+                               F.col("rep") == F.col("node"), "left").drop("node")
+    low = named.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("low"))
+    named = named.join(broadcast_if(low, links.members, MOST_BROADCAST_IDS), "component", "left").select(
+        "s1", "s2", F.coalesce("component", "rep").alias("label"), F.coalesce("low", "least").alias("_component"))
+    own = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
+    return (links.rows.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+            .withColumn("component_id", own).drop("_component"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
-    links = near_links(docs, width, threshold)
-    classes = (links.classes.join(links.labels, F.col("rep") == F.col("node"), "left")
-               .select("s1", "s2", F.coalesce("component", "rep").alias("_component")))
-    rows = links.rows.select("doc_id", "n_shingles", "s1", "s2")
-    own = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
-    return (rows.join(classes, ["s1", "s2"], "left")
-            .withColumn("component_id", own)
-            .select("doc_id", "n_shingles", "component_id",
-                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    return _grouped(near_links(docs, width, threshold)).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each component, all columns as they were.
+    """The rows of ``docs`` that stay, all columns as they were: one of each component, with its smallest doc_id.
 
-    Rows that repeat that doc_id stay once (any one of them); rows without a
-    doc_id all stay.
+    Rows without a doc_id and rows without a shingle all stay.
     """
     spark = docs.sparkSession
-    decided = materialise(spark, near_groups(docs, width, threshold).where("doc_id IS NOT NULL")
-                          .groupBy(F.col("doc_id").alias("_id"))
-                          .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-                          .where("NOT kept OR n > 1"), "near_decided")
-    dropped, repeated = decided.where("NOT kept").select("_id"), decided.where("kept").select("_id")
+    groups = materialise(spark, _grouped(near_links(docs, width, threshold)).where("doc_id IS NOT NULL").select(
+        F.col("doc_id").alias("_id"), "s1", "s2", "label", "n_shingles",
+        (F.col("doc_id") == F.col("component_id")).alias("kept")), "near_decided")
+    decided = groups.groupBy("_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = materialise(spark, decided.where("NOT kept OR n > 1"), "near_decided")
+    dropped = decided.select("_id")
     rows = packed(docs).withColumn("_id", F.col("_row.doc_id").cast("bigint"))
     stay = rows.join(broadcast_if(dropped, dropped.count(), MOST_BROADCAST_IDS), "_id", "left_anti")
+    repeated = decided.where("kept AND n > 1").select("_id")
     if times := repeated.count():
+        # a doc_id that repeats may stand for several texts: its rows are decided by their sets
         again = broadcast_if(repeated, times, MOST_BROADCAST_IDS)
-        stay = stay.join(again, "_id", "left_anti").unionByName(
-            stay.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
+        decisions = groups.where("kept").join(again, "_id", "left_semi").select("_id", "s1", "s2", "label", "n_shingles").distinct()
+        found = _with_digests(rows.join(again, "_id", "left_semi"), width).join(decisions, ["_id", "s1", "s2"])
+        stay = stay.unionByName(found.where("n_shingles > 0").dropDuplicates(["label"]).select(*stay.columns)).unionByName(
+            found.where("n_shingles = 0").select(*stay.columns))
     return stay.select("_row.*")
 
 
+def _with_digests(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``s1, s2``, the digest of the shingles of ``_row.text``."""
+    columns = rows.columns
+
+    def run(batches):
+        for part, texts in text_chunks(batches, "_text", shingles.CHUNK_BYTES):
+            _, digests = _digested(texts, width)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(i + 1) for i in range(len(columns))] + [pa.array(digests[:, i]) for i in (0, 1)],
+                names=[*columns, "s1", "s2"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+    return rows.select(F.col("_row.text").alias("_text"), *columns).mapInArrow(run, schema)
+
+
 # The contract's query (two words, 0.8) in DuckDB SQL.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
