@@ -90,17 +90,45 @@ def test_added_spans_need_support(spark):
 
 
 # ---------------------------------------------------------------- fingerprints
-def paragraphs(t):
-    cuts = r"[ \n\r]+" if len(t) < fingerprints.SHORT else r"\x20(?:(?<=[.!?;:]\x20)|(?<=\S{12}\x20))\x20*|[\n\r]+"
-    return {p.strip(" ") for p in re.split(cuts, t) if p.strip(" ")}
-
-
-def likeness(a, b):
-    a, b = paragraphs(a), paragraphs(b)
+def paragraphs(t, pair):
+    """The documented rule in Python: words (long runs by code points), a cut after one pair in eight, 32 units at
+    most; the paragraphs as tuples with the number of their occurrence.  ``pair`` gives Spark's hash of two units."""
+    units = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", t):
+        units += list(w) if len(w) > 24 else [w]
+    out, held = [], []
+    for k, u in enumerate(units):
+        if held and (len(held) == 32 or pair[units[k - 2] if k > 1 else None, units[k - 1]] % 8 == 0):
+            out.append(tuple(held))
+            held = []
+        held.append(u)
+    out += [tuple(held)] if held else []
+    seen = Counter()
+    numbered = set()
+    for p in out:
+        numbered.add((p, seen[p]))
+        seen[p] += 1
+    return numbered
+
+
+def pair_hashes(spark, texts):
+    """Spark's hash of every two units that stand side by side, by a plain query."""
+    pairs = set()
+    for t in texts:
+        units = [None]
+        for w in re.findall(r"[^\x20\x09-\x0D]+", t):
+            units += list(w) if len(w) > 24 else [w]
+        pairs |= set(zip(units, units[1:]))
+    table = spark.createDataFrame([(a, b) for a, b in pairs], "a string, b string")
+    return {(r["a"], r["b"]): r["h"] for r in table.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+
+
+def likeness(a, b, pair):
+    a, b = paragraphs(a, pair), paragraphs(b, pair)
     return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def test_fingerprints(odd, none):
+def test_fingerprints(spark, odd, none):
     rows = fingerprints.fingerprint_report(odd).collect()
     table = {}
     for i, t, *_ in odd_rows():
@@ -108,6 +136,7 @@ def test_fingerprints(odd, none):
     assert len(rows) == len(odd_rows())
     order = sorted(table, key=lambda i: (i is not None, i or 0), reverse=True)
     texts = {i: t or "" for i, t, *_ in odd_rows() if i is not None}
+    pairs = []
     for r in rows:
         if r["doc_id"] is None:
             continue
@@ -115,8 +144,10 @@ def test_fingerprints(odd, none):
         k = len(t) // 3
         edited = t[:len(t) - k] + nxt[:k]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["near_edited"] == pytest.approx(likeness(t, edited))
-        assert r["near_next"] == pytest.approx(likeness(t, nxt))
+        pairs += [(r["near_edited"], t, edited), (r["near_next"], t, nxt)]
+    hashes = pair_hashes(spark, {t for _, a, b in pairs for t in (a, b)})
+    for near, a, b in pairs:
+        assert near == pytest.approx(likeness(a, b, hashes))
     prints = {}
     for r in rows:
         if r["doc_id"] is not None:

@@ -14,10 +14,10 @@ difference.
 
 Two versions are compared by subtracting their fingerprints; peeling the rest
 recovers the digests that only one of them has.  Where the sketch is too small
-for the difference, larger ones are taken: three times as many cells as both
-versions have paragraphs (few keys share a cell, so peeling takes few rounds; only
-cells in use are listed), then twice and four times that, each with other cell
-hashes.  (Should
+for the difference, larger ones are taken: ``ROOM`` cells in two parts for each
+paragraph of both versions (nearly every key is alone in a cell, so nearly all are
+peeled at once; only cells in use are listed), then twice and four times that,
+each with other cell hashes.  (Should
 all fail, which takes several keys with the same cells in each, the digest
 sets are compared themselves.)  The likeness is the share of paragraphs in common,
 1 - |difference| / (|A| + |B|); two texts without paragraphs have likeness 1.
@@ -46,6 +46,7 @@ LONG = 24                    # code points of a word; longer runs count by code
 SPACING = 8                  # units a paragraph, on average
 MOST = 32                    # units a paragraph, at most
 CELLS = 24
+ROOM = 24                    # cells for each paragraph in a larger sketch
 NO_ID = -(1 << 63)           # stands for a NULL doc_id: after all others in descending order
 
 
@@ -94,13 +95,13 @@ def fingerprint(keys: Column) -> Column:
 
 def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """The digests (``k``) that only one version has; ``n`` is 1 for the first's, -1 for the second's."""
-    def larger(times: float, salt: int) -> Column:
-        size = F.greatest(F.lit(3 * CELLS), F.ceil((F.size(a) + F.size(b)) * F.lit(times)).cast("int"))
-        return let(size, lambda s: peeled(difference(a, b, s, salt), s, salt))
+    def larger(times: int, salt: int) -> Column:
+        size = F.greatest(F.lit(3 * CELLS), (F.size(a) + F.size(b)) * F.lit(times))
+        return let(size, lambda s: peeled(difference(a, b, s, salt, 2), s, salt, 2))
 
     only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(
         k.alias("k"), F.lit(n).alias("n")))
-    return F.coalesce(peeled(subtracted(sketch_a, sketch_b), CELLS), larger(3.0, 1), larger(6.0, 2), larger(12.0, 3),
+    return F.coalesce(peeled(subtracted(sketch_a, sketch_b), CELLS), larger(ROOM, 1), larger(2 * ROOM, 2), larger(4 * ROOM, 3),
                       F.concat(only(a, b, 1), only(b, a, -1)))
 
 

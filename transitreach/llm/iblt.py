@@ -1,7 +1,7 @@
 """Invertible Bloom lookup sketches of sets of 64-bit keys, in DataFrame functions.
 
-A sketch has ``size`` cells in three parts; a key lands in one cell of each.  A
-cell keeps the number of its keys, the XOR of the keys and the XOR of their check
+A sketch has ``size`` cells in ``parts`` parts (three, or two where it is roomy); a key lands
+in one cell of each.  A cell keeps the number of its keys, the XOR of the keys and the XOR of their check
 hashes.  Only cells in use are listed, sorted by number.  Sketches of the same
 size and salt subtract cell by cell; what both sets share cancels, and peeling
 gives the keys of the difference: a cell with one key left names it, and the key
@@ -32,16 +32,16 @@ def _check(key: Column) -> Column:
 
 
 def _entries(keys: Column, sign: Callable[[Column], Column], key: Callable[[Column], Column],
-             size: Column, salt: int) -> Column:
+             size: Column, salt: int, parts: int) -> Column:
     """One cell entry per key and part."""
-    width = (size / F.lit(PARTS)).cast("int")
+    width = (size / F.lit(parts)).cast("int")
 
     def cell(e, part):
         return F.struct((F.lit(part) * width + F.pmod(F.xxhash64(key(e), F.lit(salt), F.lit(part)),
                                                       width.cast("bigint")).cast("int")).alias("c"),
                         sign(e).alias("n"), key(e).alias("k"), _check(key(e)).alias("h"))
 
-    return F.flatten(F.transform(keys, lambda e: F.array(*[cell(e, p) for p in range(PARTS)])))
+    return F.flatten(F.transform(keys, lambda e: F.array(*[cell(e, p) for p in range(parts)])))
 
 
 def _combined(entries: Column) -> Column:
@@ -68,10 +68,10 @@ def _combined(entries: Column) -> Column:
     return let(F.sort_array(entries), runs)
 
 
-def sketch(keys: Column, size: Column | int, salt: int = 0) -> Column:
+def sketch(keys: Column, size: Column | int, salt: int = 0, parts: int = PARTS) -> Column:
     """The sketch of an array of distinct keys."""
     size = F.lit(size) if isinstance(size, int) else size
-    return _combined(_entries(keys, lambda _: F.lit(1), lambda k: k, size, salt))
+    return _combined(_entries(keys, lambda _: F.lit(1), lambda k: k, size, salt, parts))
 
 
 def negated(cells: Column) -> Column:
@@ -83,13 +83,13 @@ def subtracted(a: Column, b: Column) -> Column:
     return _combined(F.concat(a, negated(b)))
 
 
-def difference(a: Column, b: Column, size: Column, salt: int) -> Column:
+def difference(a: Column, b: Column, size: Column, salt: int, parts: int = PARTS) -> Column:
     """The subtracted sketches of two key arrays, built in one go (sketches are sums)."""
-    return _combined(F.concat(_entries(a, lambda _: F.lit(1), lambda k: k, size, salt),
-                              _entries(b, lambda _: F.lit(-1), lambda k: k, size, salt)))
+    return _combined(F.concat(_entries(a, lambda _: F.lit(1), lambda k: k, size, salt, parts),
+                              _entries(b, lambda _: F.lit(-1), lambda k: k, size, salt, parts)))
 
 
-def peeled(cells: Column, size: Column | int, salt: int = 0) -> Column:
+def peeled(cells: Column, size: Column | int, salt: int = 0, parts: int = PARTS) -> Column:
     """The keys left in subtracted cells, with 1 (in the first set only) or -1; NULL
     where peeling does not empty them."""
     size = F.lit(size) if isinstance(size, int) else size
@@ -104,7 +104,7 @@ def peeled(cells: Column, size: Column | int, salt: int = 0) -> Column:
         single = let(pure, lambda p: F.concat(signed(p, 1), signed(p, -1)))
 
         def without(keys):
-            removed = _entries(keys, lambda e: -e["n"], lambda e: e["k"], size, salt)
+            removed = _entries(keys, lambda e: -e["n"], lambda e: e["k"], size, salt, parts)
             return F.when(F.size(keys) == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"),
                                                       F.lit(True).alias("over"))).otherwise(
                 F.struct(_combined(F.concat(acc["cells"], removed)).alias("cells"),
@@ -120,13 +120,13 @@ def peeled(cells: Column, size: Column | int, salt: int = 0) -> Column:
 
 
 def encoded(cells: Column, size: int) -> Column:
-    """A dense text of the sketch, of the same length for every set: Base64 of count
-    (16 bits), key (64) and check (64) of each cell."""
+    """A dense text of the sketch, of the same length for every set: Base64 of count,
+    key and check (64 bits each) of each cell."""
     def cell(known, x, i):       # with the zeros of the unused cells before it
         last = F.coalesce(F.get(known, i - 1)["c"], F.lit(-1))
-        return F.concat(F.repeat(F.lit("0" * 36), x["c"] - last - 1),
-                        F.lpad(F.hex(F.pmod(x["n"], F.lit(65536))), 4, "0"),
+        return F.concat(F.repeat(F.lit("0" * 48), x["c"] - last - 1),
+                        F.lpad(F.hex(x["n"].cast("bigint")), 16, "0"),
                         F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"]), 16, "0"))
 
     used = let(cells, lambda known: F.array_join(F.transform(known, lambda x, i: cell(known, x, i)), ""))
-    return F.base64(F.unhex(F.rpad(used, 36 * size, "0")))
+    return F.base64(F.unhex(F.rpad(used, 48 * size, "0")))
