@@ -147,3 +147,16 @@ def test_trip_minutes_round_half_even(spark):
             raw_row(l_number="1", duration="{'text': '', 'value': 75}")]
     legs = clean_legs(raw_frame(spark, rows), keep_helpers=True)
     assert {r["t_travelmins"] for r in legs.collect()} == {2.0}
+
+
+def test_python_text_without_token_rendering_equals_repr(spark):
+    """Both ways of rendering give Python's own text, whatever the spacing."""
+    import json
+    values = [{"a": 1, "b": "x, y: z", "c": [1, -2.5, {"d": ""}], "e": {}}, [], {}, ["a,b", ":"], "plain", {"k x": "9:05 AM", "n": "\xa0"},
+              {"t": True, "f": False, "n": None}, {"it's": 'say "x"', "p": "a\\b", "nullable": "true"}, [[["[", "}"]], "{,"], {"u": "日本 é"}]
+    texts = [json.dumps(v, ensure_ascii=e, separators=s) for v in values for e in (True, False)
+             for s in ((",", ":"), (", ", ": "), (" ,\n", " :\t "))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r["i"]: r["p"] for r in df.select("i", P.python_text("t").alias("p")).collect()}
+    assert got.pop(-1) is None
+    assert {i: got[i] for i in got} == {i: repr(json.loads(t)) for i, t in enumerate(texts) if i in got}

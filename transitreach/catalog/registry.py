@@ -14,6 +14,8 @@ from ..functions.columns import extract_or_null, semi_in
 from ..functions.geo import polygon_centroid
 from ..operators import census as C
 from ..operators import columns as CO
+from ..operators import coverage as CV
+from ..operators import facets as FA
 from ..operators import filters as FL
 from ..operators import legs as L
 from ..operators import measure as M
@@ -23,6 +25,7 @@ from ..operators import trips as T
 from ..operators import validate as V
 from ..params import AccessParams
 from ..plans import acquire as A
+from ..plans import cube as CB
 from ..plans import serve as SV
 from ..session import scratch_path
 from ..sources import batches as B
@@ -364,6 +367,24 @@ def q_cascade_choices(spark, d):
     return S.carnegie_choices(R.schools(spark, d), R.P_SUBSET)
 
 
+def facet_sql(p: AccessParams) -> str:
+    """Each picker's values, counted among the institutions the other pickers leave."""
+    conds = {c: ("TRUE" if getattr(p, f) is None else R.sql_in(c, getattr(p, f))) for c, f in FA.PICKERS}
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS dimension, {c} AS value, COUNT(*) FILTER (" + " AND ".join(
+            x for o, x in conds.items() if o != c) + f") AS n_schools, {conds[c]} AS chosen FROM sch GROUP BY {c}"
+        for c in conds)
+
+
+P_FACETS = AccessParams(sectors=("Public", "Private nonprofit"), sizes=("Under 1,000", "1,000 - 4,999"),
+                        degree_types=("Associate", "Doctoral"), carnegie=("C1", "C2", "C3"))
+
+
+@query("facet_counts", with_ctes("schools") + facet_sql(P_FACETS))
+def q_facet_counts(spark, d):
+    return FA.facet_counts(FA.bitmap_index(R.schools(spark, d)), P_FACETS)
+
+
 @query("acs_choices", with_ctes("acs") +
        "SELECT DISTINCT label, concept, label = (SELECT MIN(label) FROM acs WHERE concept = 'BUILDING') "
        "AS is_default FROM acs WHERE concept = 'BUILDING'")
@@ -561,6 +582,29 @@ def q_accessibility_selected(spark, d):
     return SV.accessibility(T_(spark, d), R.P_SUBSET)
 
 
+CUBE_BATCHES = 4
+
+
+def access_cube(spark, d):
+    """The cube of all trips, added in batches (once per session), the first one twice."""
+    def write(path):
+        cube, trips, schools = CB.AccessCube(spark, path), R.trips_full(spark, d), R.schools(spark, d)
+        for b in [*range(CUBE_BATCHES), 0]:
+            cube.add(str(b), trips.where(F.pmod(F.xxhash64("odid", "run"), F.lit(CUBE_BATCHES)) == b), schools)
+    return CB.AccessCube(spark, R.stored_folder(spark, d, "cube", write))
+
+
+@query("accessibility_cube", acc_sql(R.P_SUBSET))
+def q_accessibility_cube(spark, d):
+    return access_cube(spark, d).accessibility(R.areas(spark, d), R.schools(spark, d), R.P_SUBSET)
+
+
+@query("accessibility_cube_compacted", acc_sql(R.P_MORNING))
+def q_accessibility_cube_compacted(spark, d):
+    cube = access_cube(spark, d).compacted(scratch_path(spark, "cube_base"))
+    return cube.accessibility(R.areas(spark, d), R.schools(spark, d), R.P_MORNING)
+
+
 @query("cutoff_counts", cutoff_counts_sql(45))
 def q_cutoff_counts(spark, d):
     return M.cutoff_counts(R.trips_full(spark, d), _grid(spark, d), 45)
@@ -606,6 +650,53 @@ def q_batch_coverage(spark, d):
     return V.batch_coverage(R.raw(spark, d))
 
 
+RANGE_MODULUS, RANGE_MOST = 1_000_007, 25      # planted batch ranges: one per order
+
+
+def _planted_ranges(spark, d):
+    """One fetched index range per order: runs by parity, ranges that overlap and leave gaps."""
+    k = F.col("o_orderkey")
+    start = (k * 7919) % RANGE_MODULUS
+    return fx.table(spark, d, "orders").select(
+        F.when(k % 2 == 0, F.lit("morning")).otherwise(F.lit("evening")).alias("source_run"),
+        start.alias("source_start_index"), (start + F.col("o_custkey") % RANGE_MOST).alias("source_end_index"))
+
+
+def _sweep_sql(ranges: str, first: int, last: int) -> str:
+    return (f"ev AS (SELECT run, pos, SUM(change) AS change FROM (SELECT run, s AS pos, 1 AS change FROM {ranges} WHERE s < e "
+            f"UNION ALL SELECT run, e, -1 FROM {ranges} WHERE s < e UNION ALL SELECT run, b, 0 FROM {ranges}, "
+            f"(VALUES ({first}), ({last})) t(b)) GROUP BY run, pos HAVING SUM(change) <> 0 OR pos IN ({first}, {last})),\n"
+            "sw AS (SELECT run AS source_run, pos AS start_index, LEAD(pos) OVER w AS end_index, "
+            "CAST(SUM(change) OVER w AS BIGINT) AS times FROM ev WINDOW w AS (PARTITION BY run ORDER BY pos)),\n"
+            f"seg AS (SELECT *, CASE WHEN start_index < {first} OR end_index > {last} THEN 'unexpected' "
+            "WHEN times = 0 THEN 'missing' WHEN times = 1 THEN 'once' ELSE 'repeated' END AS kind "
+            "FROM sw WHERE end_index IS NOT NULL),\n"
+            "sg AS (SELECT * FROM seg WHERE kind <> 'unexpected' OR times > 0)\n")
+
+
+@query("coverage_segments", (
+    "WITH rg AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'morning' ELSE 'evening' END AS run, "
+    f"(o_orderkey * 7919) % {RANGE_MODULUS} AS s, (o_orderkey * 7919) % {RANGE_MODULUS} + o_custkey % {RANGE_MOST} AS e "
+    "FROM orders),\n" + _sweep_sql("rg", 0, RANGE_MODULUS) + "SELECT * FROM sg"))
+def q_coverage_segments(spark, d):
+    return CV.coverage_segments(_planted_ranges(spark, d), 0, RANGE_MODULUS)
+
+
+@query("coverage_summary", with_ctes("raw", extra=(
+    "rg AS (SELECT DISTINCT source_filename, source_run AS run, source_start_index AS s, source_end_index AS e FROM raw),\n" +
+    _sweep_sql("rg", 0, V.EXPECTED_DESTINATIONS))) + (
+    "SELECT source_run, CAST((SELECT COUNT(*) FROM rg WHERE rg.run = sg.source_run) AS BIGINT) AS n_files, "
+    "CAST(COALESCE(SUM(end_index - start_index) FILTER (kind IN ('once', 'repeated')), 0) AS BIGINT) AS covered, "
+    "CAST(COALESCE(SUM(end_index - start_index) FILTER (kind = 'missing'), 0) AS BIGINT) AS missing, "
+    "CAST(COALESCE(SUM((end_index - start_index) * (times - 1)) FILTER (kind = 'repeated'), 0) AS BIGINT) AS refetched, "
+    "CAST(COALESCE(SUM(end_index - start_index) FILTER (kind = 'unexpected'), 0) AS BIGINT) AS unexpected, "
+    "COUNT(*) FILTER (kind = 'missing') AS n_gaps, COUNT(*) FILTER (kind = 'repeated') AS n_repeated, "
+    "COALESCE(SUM(end_index - start_index) FILTER (kind = 'missing'), 0) = 0 AS valid FROM sg GROUP BY source_run"))
+def q_coverage_summary(spark, d):
+    ranges = CV.fetched_ranges(R.raw(spark, d))
+    return CV.coverage_summary(CV.coverage_segments(ranges, 0, V.EXPECTED_DESTINATIONS), ranges)
+
+
 @query("od_stats", with_ctes("raw") + (
     "SELECT COUNT(DISTINCT origin) AS n_origin, COUNT(DISTINCT destination) AS n_destination, "
     "(SELECT COUNT(*) FROM (SELECT DISTINCT origin, destination FROM raw)) AS n_pairs FROM raw"))

@@ -43,6 +43,8 @@ MORNING_SET_CLOCK = "9:00 AM"
 EVENING_SET_CLOCK = "5:00 PM"
 MORNING = "morning"
 JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[\[\]{}:,]|[^\s\[\]{}:,"]+'
+JSON_PART = r'\s*+("[^"]*+"|[^",:\s]++)\s*+([,:]?)\s*+'
+MARK = "\u0001"                  # never stands raw in JSON
 JSON_TO_PYTHON = ((",", ", "), (":", ": "), ("null", "None"), ("true", "True"), ("false", "False"))
 REPR_ESCAPES = (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\u202f", "\\u202f"), ("\xa0", "\\xa0"))
 
@@ -170,8 +172,21 @@ def python_text(json_text) -> Column:
             out = out.when(token == F.lit(source), F.lit(target))
         return out.otherwise(token)
 
-    tokens = F.regexp_extract_all(col(json_text), F.lit(JSON_TOKEN), F.lit(0))
-    return F.array_join(F.transform(tokens, render), "")
+    text = col(json_text)
+    tokens = F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0))
+    # text without escapes, apostrophes and words to translate needs no token-by-token rendering:
+    # one pass marks the end of every token with its separator, the rest is replacing
+    simple = F.lit(True)
+    for special in ("\\", "'", MARK, *(source for source, _ in JSON_TO_PYTHON if source.isalpha())):
+        simple = simple & ~text.contains(special)
+    plain = F.regexp_replace(text, JSON_PART, "$1$2" + MARK)
+    for source, target in JSON_TO_PYTHON:
+        if not source.isalpha():
+            plain = F.replace(plain, F.lit(source + MARK), F.lit(target))
+    plain = F.translate(F.replace(plain, F.lit(MARK), F.lit("")), '"', "'")
+    for char, escape in REPR_ESCAPES:
+        plain = F.replace(plain, F.lit(char), F.lit(escape))
+    return F.when(simple, plain).otherwise(F.array_join(F.transform(tokens, render), ""))
 
 
 # ---------------------------------------------------------------- times
