@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions.columns import extract_or_null, semi_in
-from ..functions.geo import polygon_centroid
+from ..functions.geo import EARTH_MILES, polygon_centroid
 from ..operators import census as C
 from ..operators import columns as CO
 from ..operators import coverage as CV
@@ -19,6 +19,7 @@ from ..operators import facets as FA
 from ..operators import filters as FL
 from ..operators import legs as L
 from ..operators import measure as M
+from ..operators import nearby as NB
 from ..operators import schools as S
 from ..operators import shares as SH
 from ..operators import trips as T
@@ -26,7 +27,9 @@ from ..operators import validate as V
 from ..params import AccessParams
 from ..plans import acquire as A
 from ..plans import cube as CB
+from ..plans import pages as PG
 from ..plans import serve as SV
+from ..plans import sql_functions as SQ
 from ..session import scratch_path
 from ..sources import batches as B
 from ..sources import fixtures as fx
@@ -412,7 +415,62 @@ def q_table_page(spark, d):
     return FL.table_page(table, search="Morning", order_by="t_time", descending=True, page=1, page_size=10)
 
 
+def table_index(spark, d):
+    """The trips table of the subset, sorted and indexed once per session."""
+    def write(path):
+        PG.write_table_index(SV.trips_table(T_(spark, d), R.P_SUBSET), path, order_by="t_time", descending=True)
+    return PG.TableIndex(spark, R.stored_folder(spark, d, "table_index", write))
+
+
+@query("table_page_search", acc_sql(R.P_SUBSET, select=(
+    "SELECT * EXCLUDE (enrolment) FROM st WHERE lower(run) LIKE '%morning%' OR lower(source_filename) "
+    f"LIKE '%morning%' OR lower(source_run) LIKE '%morning%' ORDER BY {PAGE2_ORDER} OFFSET 10 LIMIT 10")))
+def q_table_page_search(spark, d):
+    index = table_index(spark, d)
+    key = index.page_after("Morning").agg(F.max("_place")).first()[0]      # the first page's last position
+    return index.page_after("Morning", -1 if key is None else key).drop("_place")
+
+
+@query("table_page_deep", acc_sql(R.P_SUBSET, select=(
+    f"SELECT * EXCLUDE (enrolment) FROM st ORDER BY {PAGE2_ORDER} OFFSET 5000 LIMIT 25")))
+def q_table_page_deep(spark, d):
+    return table_index(spark, d).page_at(200, 25).drop("_place")
+
+
 # ======================================================================== 2.5 joins
+NEAR_MILES = 4.0
+
+
+def _haversine_sql(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> str:
+    return (f"(2 * {EARTH_MILES} * asin(sqrt(least(1.0, pow(sin((radians({lat_b}) - radians({lat_a})) / 2), 2) + "
+            f"cos(radians({lat_a})) * cos(radians({lat_b})) * pow(sin((radians({lon_b}) - radians({lon_a})) / 2), 2)))))")
+
+
+@query("crow_flies", with_ctes("ipeds") + (
+    "SELECT UNITID AS school_id, round("
+    + _haversine_sql("LATITUDE", "LONGITUD", "LAT_CTR", "LON_CTR") + ", 6) AS crow_flies, "
+    + _haversine_sql("LATITUDE", "LONGITUD", "LAT_CTR", "LON_CTR") + " <= 30 AS in_study FROM ip"))
+def q_crow_flies(spark, d):
+    miles = NB.crow_flies(fx.ipeds(spark, d), "LATITUDE", "LONGITUD", "LAT_CTR", "LON_CTR")
+    return miles.select(F.col("UNITID").alias("school_id"), F.round("crow_flies", 6).alias("crow_flies"),
+                        (F.col("crow_flies") <= 30).alias("in_study"))
+
+
+@query("schools_within_miles", with_ctes("schools", extra=(
+    "ct AS (SELECT CAST(c_custkey AS VARCHAR) AS id, 40.4 + (c_custkey % 997) / 1000.0 AS lat, "
+    "-73.4 - (c_custkey % 1009) / 1000.0 AS lng FROM customer),\n"
+    "pr AS (SELECT ct.id AS centre_id, school_id AS point_id, "
+    + _haversine_sql("ct.lat", "ct.lng", "latitude", "longitude") + " AS m FROM ct, sch)")) +
+    f"SELECT centre_id, point_id, round(m, 6) AS miles FROM pr WHERE m <= {NEAR_MILES}")
+def q_schools_within_miles(spark, d):
+    k = F.col("c_custkey")
+    centres = fx.table(spark, d, "customer").select(
+        k.cast("string").alias("id"), (F.lit(40.4) + (k % 997) / F.lit(1000.0)).alias("lat"),
+        (F.lit(-73.4) - (k % 1009) / F.lit(1000.0)).alias("lng"))
+    near = NB.within_distance(centres, _schools_points(spark, d).drop("ord"), NEAR_MILES)
+    return near.withColumn("miles", F.round("miles", 6))
+
+
 def _origins_areas(spark, d):
     a = R.areas(spark, d, geometry=True)
     c = polygon_centroid(F.col("geometry"))
@@ -555,6 +613,40 @@ def q_enrolment_join(spark, d):
     return T.enrolment_join(R.trips(spark, d), R.schools(spark, d))
 
 
+# ======================================================================== SQL surface
+def _sql_args(p: AccessParams) -> dict:
+    return {"cutoff": float(p.cutoff), "run": p.run, "transfers": p.transfers, "sizes": list(p.sizes), "sectors": list(p.sectors),
+            "levels": list(p.degree_levels), "types": list(p.degree_types)}
+
+
+ACCESS_CALL = ("accessibility(cutoff => :cutoff, run => :run, transfers => :transfers, sizes => :sizes, "
+               "sectors => :sectors, degree_levels => :levels, degree_types => :types)")
+
+
+def _by_sql(spark, d, text: str, p: AccessParams) -> DataFrame:
+    SQ.register(spark, T_(spark, d))
+    return spark.sql(text, args=_sql_args(p))
+
+
+@query("sql_accessibility", acc_sql(R.P_SUBSET, with_params=False, select=(
+    "SELECT geoid, name, schools_accessible, slots_accessible FROM acc")))
+def q_sql_accessibility(spark, d):
+    return _by_sql(spark, d, f"SELECT * FROM {ACCESS_CALL}", R.P_SUBSET)
+
+
+@query("sql_schools_in_range", acc_sql(R.P_MORNING, select=(
+    "SELECT school_id, school_name, sector, size FROM sel WHERE school_id IN (SELECT school_id FROM st)")))
+def q_sql_schools_in_range(spark, d):
+    return _by_sql(spark, d, f"SELECT * FROM {ACCESS_CALL.replace('accessibility', 'schools_in_range')}", R.P_MORNING)
+
+
+@query("sql_line_shares", acc_sql(R.P_SUBSET, select=(
+    "SELECT l_line, COUNT(*) AS n_legs, CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS share FROM sl "
+    "WHERE l_mode = 'TRANSIT' AND l_line IS NOT NULL GROUP BY l_line")))
+def q_sql_line_shares(spark, d):
+    return _by_sql(spark, d, f"SELECT * FROM {ACCESS_CALL.replace('accessibility', 'line_shares')}", R.P_SUBSET)
+
+
 # ======================================================================== 2.6 aggregation
 @query("accessibility_both", acc_sql(R.P_DEFAULT, semi=False, with_params=False))
 def q_accessibility_both(spark, d):

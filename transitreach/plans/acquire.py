@@ -46,7 +46,7 @@ RESPONSE_SCHEMA = T.ArrayType(T.StructType([T.StructField("legs", T.ArrayType(LE
 
 
 # ---------------------------------------------------------------- request plan
-def dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, order_col: str | list[Column], name: str = "idx") -> DataFrame:
     """0-based position of each row in ``order_col`` order, computed distributed.
 
     Rows are range-partitioned, sorted and written once with their partition and
@@ -54,9 +54,10 @@ def dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFrame:
     per-partition counts -- one row per partition) plus its place in the partition.
     The offsets and the rows are both read from the written table: computed twice,
     the sampled range bounds and the coalesced partitions could differ.  Requires
-    unique ``order_col`` values.
+    unique ``order_col`` values (a list of sort columns: unique together).
     """
-    ordered = (df.repartitionByRange(order_col).sortWithinPartitions(order_col)
+    order = [order_col] if isinstance(order_col, str) else order_col
+    ordered = (df.repartitionByRange(*order).sortWithinPartitions(*order)
                  .withColumns({"_pid": F.spark_partition_id(),
                                "_mid": F.monotonically_increasing_id()}))
     ordered = ordered.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
