@@ -65,8 +65,8 @@ from .wordcodec import text_chunks
 
 HASHES, BITS, BAND_ROWS = 128, 4, 4
 LOSS = 1e-6              # chance that the bit-count test drops a pair at the threshold
-ROUNDS = 2               # leader rounds before counting
-SETTLINGS = 2            # rounds of counting and central leaders at most
+ROUNDS = 1               # leader rounds before counting
+SETTLINGS = 1            # rounds of counting and central leaders at most
 BLOCK = 1024             # rows a side of a block of a bucket, by bit counts
 FAMILY_BLOCK = 128       # rows a side of a block of a family, with their full sets
 MOST_BROADCAST_IDS = 1_000_000     # one or two longs each
