@@ -166,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     # bounded by MOST_TRAINING documents
     table = rows.select("doc_id", "text", "toxic", "fold").mapInArrow(
         run, "doc_id bigint, toxic int, fold int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(table["x"].tolist(), dtype=float).reshape(len(table), len(words) + 1 + len(SEEDS))
+    # row by row into one array: no list of numbers in between
+    x = np.zeros((len(table), len(words) + 1 + len(SEEDS)))
+    for i, row in enumerate(table["x"]):
+        x[i] = row
     toxic = table["toxic"].to_numpy(dtype=float)
     seeded = x[:, -len(SEEDS):] > 0
     targets = np.column_stack([*[toxic * seeded[:, i] for i in range(len(SEEDS))], toxic])
