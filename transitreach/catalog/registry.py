@@ -20,6 +20,7 @@ from ..operators import filters as FL
 from ..operators import legs as L
 from ..operators import measure as M
 from ..operators import nearby as NB
+from ..operators import refetch as RF
 from ..operators import schools as S
 from ..operators import shares as SH
 from ..operators import trips as T
@@ -805,6 +806,47 @@ def q_error_pairs(spark, d):
     return V.error_pairs(R.raw(spark, d))
 
 
+LEDGER_BATCHES = 3
+
+
+def pair_ledger(spark, d):
+    """The pair states of all files, added in batches (once per session), the first one twice."""
+    def write(path):
+        ledger, raw = RF.PairLedger(spark, path), R.raw(spark, d)
+        for b in [*range(LEDGER_BATCHES), 0]:
+            ledger.add(raw.where(F.pmod(F.xxhash64("source_filename"), F.lit(LEDGER_BATCHES)) == b))
+    return RF.PairLedger(spark, R.stored_folder(spark, d, "pair_ledger", write))
+
+
+@query("od_stats_merged", QUERIES["od_stats"][1])
+def q_od_stats_merged(spark, d):
+    return pair_ledger(spark, d).od_stats()
+
+
+@query("error_pairs_merged", QUERIES["error_pairs"][1])
+def q_error_pairs_merged(spark, d):
+    return pair_ledger(spark, d).error_pairs()
+
+
+def refetched(spark, d):
+    """The raw rows and a second fetch of the failed pairs, which fails again for every fifth area."""
+    raw = R.raw(spark, d)
+    area = F.when(F.col("source_run") == "morning", F.col("origin")).otherwise(F.col("destination")).cast("bigint")
+    again = raw.where(F.col("duration") == RF.FAILED).withColumns({
+        "duration": F.when(area % 5 == 0, F.lit(RF.FAILED)).otherwise(F.lit("{'text': '1 min', 'value': 60}")),
+        "request_time": F.lit("12/31/2099 00:00:00 EST"),
+        "source_filename": F.concat(F.lit("retry_"), F.col("source_filename"))})
+    return raw.unionByName(again)
+
+
+@query("refetched_pairs", with_ctes("raw") + (
+    "SELECT origin, destination, source_run, CASE WHEN duration = '-999' THEN 'retry_' ELSE '' END || source_filename "
+    "AS source_filename, CASE WHEN duration = '-999' AND CAST(CASE WHEN source_run = 'morning' THEN origin ELSE destination END "
+    "AS BIGINT) % 5 <> 0 THEN $${'text': '1 min', 'value': 60}$$ ELSE duration END AS duration, l_number FROM raw"))
+def q_refetched_pairs(spark, d):
+    return RF.best_fetch(refetched(spark, d)).select(*RF.PAIR, "source_filename", "duration", "l_number")
+
+
 @query("flatten_trips", with_ctes("legs") + f"SELECT odid, run, {TRIP_COUNTS} FROM legs GROUP BY odid, run")
 def q_flatten_trips(spark, d):
     return T.flatten_trips(R.legs(spark, d))
