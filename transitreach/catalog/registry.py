@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions.columns import extract_or_null, semi_in
-from ..functions.geo import EARTH_MILES, polygon_centroid
+from ..functions.geo import EARTH_MILES, multipolygon_centroid, polygon_centroid
 from ..operators import census as C
 from ..operators import columns as CO
 from ..operators import coverage as CV
@@ -34,6 +34,7 @@ from ..plans import sql_functions as SQ
 from ..session import scratch_path
 from ..sources import batches as B
 from ..sources import fixtures as fx
+from ..sources import shapefile as SHP
 from ..sources import sinks as SK
 from . import roles as R
 from .oracle_tables import (AGENCY, LEG_COLUMNS, PERCENTS, RAW_AGENCY, TRANSIT_TEXT, TRIP_COLUMNS,
@@ -167,6 +168,25 @@ def q_read_polygons(spark, d):
                        F.get(F.get("geometry", 0), 0)["y"].alias("y0"))
 
 
+@query("read_shapefile", with_ctes("areas") + """, parts AS (
+  SELECT geoid, name, CAST(c_custkey AS DOUBLE) AS k, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS hole,
+    CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS island FROM bg)
+SELECT geoid, name, 1 + island AS n_polygons, 1 + hole + island AS n_rings, 5 * (1 + hole + island) AS n_vertices,
+  ROUND((8 * (k + 2) - hole * (k + 1.5) + island * 4 * (k + 11)) / (8 - hole + 4 * island), 6) AS centroid_x,
+  ROUND((8 - hole * 0.75 + island * 4) / (8 - hole + 4 * island), 6) AS centroid_y FROM parts""")
+def q_read_shapefile(spark, d):
+    """Areas with holes (every third) and islands (every fifth), through polygon files and back."""
+    SHP.register(spark)
+    path = scratch_path(spark, "shapefile")
+    fx.areas_with_parts(spark, d).write.format("shapefile").mode("append").save(path)
+    back = spark.read.format("shapefile").load(path)
+    c = multipolygon_centroid(F.col("geometry"))
+    rings = F.flatten("geometry")
+    return back.select("geoid", "name", F.size("geometry").alias("n_polygons"), F.size(rings).alias("n_rings"),
+                       F.size(F.flatten(rings)).alias("n_vertices"), F.round(c["x"], 6).alias("centroid_x"),
+                       F.round(c["y"], 6).alias("centroid_y"))
+
+
 @query("preview", with_ctes("schools") +
        f"SELECT {cols(SCHOOL_COLS)} FROM sch ORDER BY CAST(school_id AS BIGINT) LIMIT 5")
 def q_preview(spark, d):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import polygon_centroid
+from ..functions.geo import multipolygon_centroid, polygon_centroid
 from ..operators import census as C
 from ..operators import filters as FL
 from ..operators import measure as M
@@ -84,7 +84,8 @@ def scatter(t: Tables, p: AccessParams) -> DataFrame:
 def with_centroid(df: DataFrame) -> DataFrame:
     if "geometry" not in df.columns:
         return df
-    c = polygon_centroid(F.col("geometry"))
+    parts = df.schema["geometry"].dataType.simpleString().startswith("array<array<array")   # as polygon files have it
+    c = (multipolygon_centroid if parts else polygon_centroid)(F.col("geometry"))
     return df.withColumns({"centroid_x": c["x"], "centroid_y": c["y"]})
 
 

@@ -276,6 +276,21 @@ def rectangle_ring(k: Column) -> Column:
     return F.array(ring)
 
 
+def areas_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas as lists of polygons: a hole of one by one in every third, an island of two by two in every fifth."""
+    key, k = F.col("c_custkey"), F.col("c_custkey").cast("double")
+
+    def box(x0, y0, x1, y1):
+        return F.array(*[F.struct((k + F.lit(x)).alias("x"), F.lit(y).alias("y"))
+                         for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+
+    outer, hole, island = box(0.0, 0.0, 4.0, 2.0), box(1.0, 0.25, 2.0, 1.25), box(10.0, 0.0, 12.0, 2.0)
+    body = F.when(key % 3 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    return table(spark, sf_dir, "customer").select(
+        _s("c_custkey").alias("geoid"), F.col("c_name").alias("name"),
+        F.when(key % 5 == 0, F.array(body, F.array(island))).otherwise(F.array(body)).alias("geometry"))
+
+
 def acs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     est = F.floor(F.abs("c_acctbal")).cast("double")
