@@ -8,22 +8,26 @@ and capitalised names after a title or a given name (``name``).
 Five labelers vote on every candidate, base ones too: yes, no or nothing.
 
 * ``strict``: a regular expression of the kind's strict form;
-* ``gazetteer``: known top-level domains, card prefixes, country codes, given names;
+* ``gazetteer``: known top-level domains, card prefixes, calling codes, area codes, given names;
 * ``cue_before`` / ``cue_after``: words near the span that speak for or against;
 * ``sound``: no digit repeated throughout, no digits or letters glued to the span.
 
-Expectation-maximisation estimates how often each labeler says yes for personal
-data and for the rest, and how common personal data is in each kind.  It runs on
-the counts of the vote patterns over all candidates: at most kinds * 3^5 rows,
-summed by Spark, whatever the corpus.  The posteriors then train the final
-classifier, a logistic regression over kind, votes, length and the characters
-beside the span; again on the counts of feature patterns, whose number is bounded
-by the features' values.  Added candidates with a score of at least ``REPORT`` that
-do not overlap a base span are reported; base spans stay.
+Expectation-maximisation estimates, for every looser kind on its own, how common
+personal data is and how often each labeler says yes for it and for the rest.  A
+labeler that says yes no more often for personal data than for the rest is given one
+rate for both, so it does not count for that kind.  Base spans are anchors: they are
+personal data by definition and are not judged, and their votes are where the rates of
+the labelers that treat all kinds alike (cues and ``sound``) start from and, with the
+weight of ``ANCHOR`` spans, are drawn to.  It runs on the counts of the vote patterns
+over all candidates: at most kinds * 3^5 rows, summed by Spark, whatever the corpus.
+The posteriors then train the final classifier, a logistic regression over votes by
+kind, length and the characters beside the span; again on the counts of feature
+patterns, whose number is bounded by the features' values.  Added candidates with a
+score of at least ``REPORT`` that do not overlap a base span are reported; base spans stay.
 
 Edge cases: a NULL text counts as empty and has no spans.  Rows are scanned one
 by one, so repeated rows and rows with a NULL doc_id give the same spans each.
-Without candidates the classifier reports nothing.  An empty table gives an empty
+Without candidates of the looser kinds the classifier reports nothing.  An empty table gives an empty
 result.  Extra columns are ignored.
 """
 
@@ -66,19 +70,39 @@ STRICT = {
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "name": r"^(Mr|Mrs|Ms|Dr|Prof)\.\x20",
 }
+# Frequent given names of English, German, French, Spanish and Italian.
+GIVEN_NAMES = (
+    "Adam Alain Alan Albert Alexander Alice Amanda Amy Ana Andrea Andrew Angela Anita Ann Anna Anne Anthony Antonio Barbara "
+    "Benjamin Bernard Bernd Betty Brian Bruno Carlos Carmen Carol Catherine Charles Charlotte Christian Christina Christopher "
+    "Claire Claudia Cynthia Daniel David Deborah Dennis Diego Donald Donna Dorothy Edward Elena Elizabeth Emily Emma Eric Eva "
+    "Fernando Francesca Francesco Francisco Frank Gary George Gerald Giovanni Giulia Hannah Hans Heather Helen Henry Isabel Jack "
+    "Jacob James Jan Jane Jason Javier Jean Jeffrey Jennifer Jessica Joan Joe John Jonathan Jorge Jose Joseph Joshua Juan Julia "
+    "Julie Karen Karl Katherine Kathleen Kenneth Kevin Klaus Larry Laura Linda Lisa Lucia Luis Manuel Marco Margaret Maria Marie "
+    "Mario Mark Martha Martin Mary Matthew Melissa Michael Michelle Miguel Monica Nancy Nicolas Nicole Olivia Pablo Pamela Patricia "
+    "Patrick Paul Pedro Peter Philippe Pierre Rachel Raymond Rebecca Richard Robert Rosa Ruth Ryan Samuel Sandra Sara Sarah Scott "
+    "Sergio Sharon Simon Sofia Sophie Stefan Stephanie Stephen Steven Susan Teresa Thomas Timothy Victoria Walter William").split()
+GENERIC_DOMAINS = "com org net edu gov mil int info biz name pro io dev app"
+# Country calling codes by zone: one digit, then two, then blocks of three.
+CALLING_CODES = (r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|"
+                 r"(2[1-689]|3[578]|42|50|59|6[7-9]|8[0578]|9[679])[0-9]")
+# Domains of two letters are countries'.  North American numbers have no area or exchange code below 200.  The first
+# three digits of US social security numbers went up to 772 while they stood for an area.
 GAZETTEER = {
-    "email": r"\.(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|ch|at|nl)$", "ip": None,
-    "card": r"^(4|5[1-5]|2[2-7]|3[47]|6(011|5))", "phone": r"^\+(1|33|34|39|41|43|44|49|61|81|86|91)(?![0-9]{0,2}0000)",
-    "mail_text": r"(?i)(com|org|net|edu|de|fr|es|uk)$", "number": None, "national_id": None,
-    "name": r"(^|\x20)(James|Mary|John|Anna|Peter|Maria|Paul|Laura|Thomas|Sarah|Daniel|Julia|Jean|Marie|Hans|Carlos|"
-            r"Sofia|David|Emma|Michael|Lucia)(\x20|$)",
+    "email": r"(?i)\.(" + GENERIC_DOMAINS.replace(" ", "|") + r"|[a-z]{2})$", "ip": None,
+    "card": r"^(4|5[1-5]|2[2-7]|3[47]|6(011|5))", "phone": rf"^\+({CALLING_CODES})(?![0-9]{{0,2}}0000)",
+    "mail_text": r"(?i)[^a-z](" + GENERIC_DOMAINS.replace(" ", "|") + r"|[a-z]{2})$",
+    "number": r"^\(?[2-9][0-8][0-9]\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$",
+    "national_id": r"^([0-6][0-9]{2}|7([0-6][0-9]|7[0-2]))-", "name": r"(^|\x20)(" + "|".join(GIVEN_NAMES) + r")\x20",
 }
 CUE_FOR = r"(?i)\b(e-?mail|mail|contact|reach|phone|tel|call|mobile|fax|card|visa|account|ip|address|host|ssn|name|mr|ms)\b"
 CUE_AGAINST = r"(?i)\b(version|isbn|issn|order|invoice|page|figure|chapter|section|table|article|no)\b|[$€%]\s*$"
 CONTEXT = 40
 REPORT = 0.5
 LABELERS = ("strict", "gazetteer", "cue_before", "cue_after", "sound")
-ROUNDS = 60
+ALIKE = (False, False, True, True, True)     # which labelers treat all kinds alike
+ROUNDS = 100
+ANCHOR = 20.0        # candidates that the anchors' rates weigh as much as
+LEAST_GAIN = 0.05    # a labeler counts for a kind if its two rates differ by this
 
 
 def _digits(m: Column) -> Column:
@@ -157,26 +181,45 @@ def voted(parts: DataFrame) -> DataFrame:
 
 
 class Reliabilities:
-    """Dawid-Skene with abstaining labelers, on counted vote patterns."""
+    """Dawid-Skene with abstaining labelers on counted vote patterns, each kind on its own."""
 
     def __init__(self, kinds: list[str], votes: np.ndarray, counts: np.ndarray):
-        self.prior = {k: 0.5 for k in kinds}
-        self.yes = np.full(len(LABELERS), 0.8), np.full(len(LABELERS), 0.3)     # given personal data, given not
+        kinds = np.array(kinds)
+        start = np.full(len(LABELERS), 0.8)
+        known = np.isin(kinds, BASE)
+        said = (counts[known, None] * (votes[known] >= 0)).sum(0)
+        yes = (counts[known, None] * (votes[known] == 1)).sum(0)
+        start = np.where(ALIKE & (said > 0), (yes + 4) / (said + 5), start)
+        self.prior, self.yes = {}, {}
+        for kind in KINDS:
+            own = (kinds == kind) & ~known
+            if own.any():
+                self._fit(kind, votes[own], counts[own], start)
+
+    def _fit(self, kind: str, votes: np.ndarray, counts: np.ndarray, start: np.ndarray) -> None:
+        self.prior[kind], self.yes[kind] = 0.5, (start, np.full(len(LABELERS), 0.3))
+        said, yes = counts[:, None] * (votes >= 0), counts[:, None] * (votes == 1)
+        pull = np.where(ALIKE, ANCHOR, 5.0)
+        pooled = (yes.sum(0) + 1) / (said.sum(0) + 2)
         for _ in range(ROUNDS):
-            p = self.posterior(kinds, votes)
-            for k in self.prior:
-                own = np.array([x == k for x in kinds])
-                total = counts[own].sum()
-                self.prior[k] = float(np.clip(((p * counts)[own].sum() + 1) / (total + 2), 0.01, 0.99))
-            spoken, yes = votes >= 0, votes == 1
-            self.yes = tuple(((w[:, None] * yes).sum(0) + a) / ((w[:, None] * spoken).sum(0) + a + b)
-                             for w, a, b in ((p * counts, 4, 1), ((1 - p) * counts, 1, 2)))
+            p = self._posterior(kind, votes)
+            self.prior[kind] = float(((p * counts).sum() + 2) / (counts.sum() + 4))
+            rates = [((w[:, None] * yes).sum(0) + pull * mean) / ((w[:, None] * said).sum(0) + pull)
+                     for w, mean in ((p, start), (1 - p, 0.3))]
+            silent = rates[0] - rates[1] < LEAST_GAIN
+            self.yes[kind] = tuple(np.clip(np.where(silent, pooled, r), 1e-4, 1 - 1e-4) for r in rates)
+
+    def _posterior(self, kind: str, votes: np.ndarray) -> np.ndarray:
+        log = [np.log(prior) + np.where(votes == 1, np.log(y), np.where(votes == 0, np.log1p(-y), 0.0)).sum(1)
+               for prior, y in zip((self.prior[kind], 1 - self.prior[kind]), self.yes[kind])]
+        return 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
 
     def posterior(self, kinds, votes: np.ndarray) -> np.ndarray:
-        prior = np.array([self.prior[k] for k in kinds])
-        log = [np.log(pr) + np.where(votes == 1, np.log(y), np.where(votes == 0, np.log1p(-y), 0.0)).sum(1)
-               for pr, y in ((prior, self.yes[0]), (1 - prior, self.yes[1]))]
-        return 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
+        """Of each pattern to be personal data; anchors are."""
+        kinds, out = np.array(kinds), np.ones(len(votes))
+        for kind in self.prior:
+            out[kinds == kind] = self._posterior(kind, votes[kinds == kind])
+        return out
 
 
 FEATURES = ("kind", *LABELERS, "size", "before", "after")
@@ -198,24 +241,33 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
+def _value(feature: str, kind, value):
+    """A feature's value; a vote counts by kind.  Of two columns, or of two pandas columns."""
+    if feature not in LABELERS:
+        return value
+    return F.concat(kind, F.lit(":"), value.cast("string")) if isinstance(kind, Column) else kind + ":" + value.astype(str)
+
+
 def fit(candidates: DataFrame) -> tuple[Reliabilities | None, dict[tuple[str, object], float]]:
     """The labelers' reliabilities and the classifier's weights by (feature, value); ("", "") is the constant."""
     # both tables have as many rows as there are patterns, which the features' values bound
     patterns = candidates.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    if not len(patterns):
+    if patterns["kind"].isin(BASE).all():
         return None, {("", ""): -30.0}
     patterns = patterns.sort_values(list(FEATURES), kind="stable").reset_index(drop=True)
     votes = patterns.groupby(["kind", *LABELERS], as_index=False)["n"].sum()
     model = Reliabilities(list(votes["kind"]), votes[list(LABELERS)].to_numpy(), votes["n"].to_numpy(float))
-    soft = model.posterior(list(patterns["kind"]), patterns[list(LABELERS)].to_numpy())
-    columns = [(f, v) for f in FEATURES for v in sorted(patterns[f].unique())]
-    x = np.column_stack([np.ones(len(patterns)), *[(patterns[f] == v).to_numpy(float) for f, v in columns]])
-    beta = fit_logistic(x, soft, patterns["n"].to_numpy(float))
+    judged = patterns[~patterns["kind"].isin(BASE)].reset_index(drop=True)
+    soft = model.posterior(list(judged["kind"]), judged[list(LABELERS)].to_numpy())
+    values = {f: _value(f, judged["kind"], judged[f]) for f in FEATURES}
+    columns = [(f, v) for f in FEATURES for v in sorted(values[f].unique())]
+    x = np.column_stack([np.ones(len(judged)), *[(values[f] == v).to_numpy(float) for f, v in columns]])
+    beta = fit_logistic(x, soft, judged["n"].to_numpy(float))
     return model, {("", ""): float(beta[0]), **{k: float(b) for k, b in zip(columns, beta[1:])}}
 
 
 def score(weights: dict[tuple[str, object], float]) -> Column:
-    terms = [F.when(F.col(f) == (v if isinstance(v, str) else int(v)), F.lit(w)).otherwise(F.lit(0.0))
+    terms = [F.when(_value(f, F.col("kind"), F.col(f)) == (v if isinstance(v, str) else int(v)), F.lit(w)).otherwise(F.lit(0.0))
              for (f, v), w in weights.items() if f]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(weights[("", "")]))))
 
