@@ -1,5 +1,7 @@
 """Quality and toxicity: held-out accuracy, parts against brute force, odd rows."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -70,3 +72,54 @@ def test_later_links_are_trained_on_out_of_fold_probabilities(monkeypatch):
     second = next(a for a in seen if a.shape == (200, 3))
     beta = original(x[fold != 0], y[fold != 0])
     assert np.allclose(second[fold == 0, 2], toxicity._sigmoid(x[fold == 0] @ beta))
+
+
+def test_a_link_cannot_read_its_category_off_an_input(spark):
+    """No weight on the category's own words or their stems; the last link has them."""
+    rows = [(i, " ".join(["you", "idiot", "idiotic"] if i % 4 == 0 else ["pathetic", "scum"] if i % 4 == 1 else ["fine", "day"])
+             + f" bile{'' if i % 2 else 's'} w{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    chain = toxicity.fit(docs, docs.selectExpr("doc_id", "IF(doc_id % 4 < 2, 1, 0) AS toxic"))
+    for name, seeds in toxicity.SEEDS.items():
+        own = toxicity.own_words(chain.words, name)
+        assert not chain.betas[name][:len(own)][own].any()
+        assert {w for w, o in zip(("", *chain.words), own) if o} >= set(seeds)
+        assert chain.betas["toxic"][:len(own)][own].any()
+    assert [len(chain.betas[n]) for n in toxicity.CHAIN] == [len(chain.words) + 1 + len(toxicity.SEEDS) + c for c in range(3)]
+
+
+def test_terms_of_a_fold_come_from_the_other_folds(spark):
+    rows = [(i, "common words", int(i % 8 < 4), i % 4) for i in range(160)]
+    lists = toxicity.telling_terms(spark.createDataFrame(
+        [(i, t + (" venom" if y else " calm") + (" leak" + "abcd"[f] if y else ""), y, f) for i, t, y, f in rows],
+        "doc_id bigint, text string, toxic int, fold int"))
+    assert len(lists) == toxicity.FOLDS + 1
+    for f in range(toxicity.FOLDS):
+        assert "venom" in lists[f] and "leak" + "abcd"[f] not in lists[f] and "leak" + "bcda"[f] in lists[f]
+    assert all("leak" + c in lists[-1] for c in "abcd")
+
+
+def test_a_repeated_doc_id_trains_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "c")] + [(3, "same")] * 50, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id bigint, toxic int")
+    got = toxicity.training_rows(docs, marks).collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in got) == [(1, 1), (2, 0), (3, 1)]
+    again = toxicity.training_rows(docs.repartition(7), marks).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(r["doc_id"], r["text"]) for r in again}
+
+
+def test_scores_equal_plain_python(spark):
+    d = "/root/testdata/sf0.001"
+    docs, marks = documents(spark, d), labels(spark, d)
+    chain = toxicity.fit(docs, marks)
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, marks).collect()}
+    for r in docs.collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower())]
+        terms = words + [w[:toxicity.STEM] + "*" for w in words if len(w) > toxicity.STEM]
+        x = [1.0, *(np.log1p(terms.count(w)) for w in chain.words),
+             *(np.log1p(sum(words.count(s) for s in seeds)) for seeds in toxicity.SEEDS.values())]
+        for name in toxicity.CHAIN:
+            p = 1 / (1 + np.exp(-np.clip(np.dot(x, chain.betas[name]), -30, 30))) if name in chain.betas else chain.base
+            assert abs(got[r["doc_id"]][f"p_{name}"] - p) < 1e-9
+            x.append(p)
+        assert got[r["doc_id"]]["rejected"] == (x[-1] >= toxicity.REJECT)

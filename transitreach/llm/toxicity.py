@@ -8,17 +8,22 @@ that a later link learns how far an earlier one can be trusted on new rows; for
 scoring they come from the models fitted on all training rows.
 
 The labels say only whether a document is toxic.  A document has a finer category
-when it is labelled toxic and holds one of the category's seed words.
+when it is labelled toxic and holds one of the category's seed words.  The category's
+own link sees none of those words, neither themselves nor stems that begin them: it
+predicts the category from the rest of the text, and cannot read its target off an
+input.  The other links see them.
 
 The features are logarithmic counts of the seed words and of the ``TERMS`` terms that
 set toxic training documents apart most: words, and beginnings of words (``STEM``
 letters and a star), by the signed likelihood ratio of their document frequencies.
-The models are
-fitted on a bounded sample: the ``MOST_TRAINING`` labelled documents with the
-smallest hashes of doc_id.  Every document is scored on its whole text.
+For out-of-fold predictions the terms are chosen anew without the fold's documents.
+The models are fitted on a bounded sample: the ``MOST_TRAINING`` labelled documents
+with the smallest hashes of doc_id, one row each.  Every document is scored on its
+whole text.
 
 Edge cases: a NULL or empty text has no words and gets the score of such a
-row.  Labels that are NULL, or of documents that are not there, are ignored.  If
+row.  Labels that are NULL, or of documents that are not there, are ignored; a
+labelled doc_id that repeats trains with the text of the smallest hash.  If
 all labels are alike, or there are none, every probability is the share of
 toxic ones (0 without labels).  Repeated rows get equal scores.  An empty
 table gives an empty result.  Extra columns, whatever their names, are ignored by
@@ -30,6 +35,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -98,22 +104,45 @@ def _fit_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return fit_logistic(x, y, np.ones(len(y)), ridge=RIDGE, steps=8)
 
 
-def fit_chain(words: tuple[str, ...], x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> Chain:
-    """Fit the links in order; ``targets`` has a column per category."""
+def _fit_open(x: np.ndarray, y: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """A link on the open columns of ``x``; the weights of the others are 0."""
+    beta = np.zeros(x.shape[1])
+    beta[open_] = _fit_link(x[:, open_].astype(float), y)
+    return beta
+
+
+def own_words(words: tuple[str, ...], name: str) -> np.ndarray:
+    """Which columns of the features tell a category's own seed words."""
+    seeds = SEEDS.get(name, ())
+    stems = {s[:STEM] + "*" for s in seeds if len(s) > STEM}
+    return np.array([False, *(w in seeds or w in stems for w in words), *(category == name for category in SEEDS)])
+
+
+def fit_chain(words: tuple[str, ...], x: np.ndarray, targets: np.ndarray, fold: np.ndarray,
+              chosen: np.ndarray | None = None, hidden: dict[str, np.ndarray] | None = None) -> Chain:
+    """Fit the links in order; ``targets`` has a column per category.
+
+    ``chosen`` says which columns the models without fold 0, 1, .. may use, its last row
+    which the final ones may; ``hidden`` which a category's own link may not.
+    """
     toxic = targets[:, -1]
     chain = Chain(words, base=float(toxic.mean()) if len(toxic) else 0.0)
     if not len(toxic) or toxic.min() == toxic.max():
         return chain
-    seen = x
+    if chosen is None:
+        chosen = np.ones((FOLDS + 1, x.shape[1]), dtype=bool)
+    earlier = np.zeros((len(x), 0))
     for c, name in enumerate(CHAIN):
-        y = targets[:, c]
+        y, seen = targets[:, c], np.hstack((x, earlier))
+        own = chosen if hidden is None or name not in hidden else chosen & ~hidden[name]
+        open_ = np.hstack((own, np.ones((FOLDS + 1, c), dtype=bool)))
         unseen = np.zeros(len(y))
         for f in range(FOLDS):
             out = fold == f
             if out.any() and not out.all():
-                unseen[out] = _sigmoid(seen[out] @ _fit_link(seen[~out], y[~out]))
-        chain.betas[name] = _fit_link(seen, y)
-        seen = np.column_stack((seen, unseen))
+                unseen[out] = _sigmoid(seen[out] @ _fit_open(seen[~out], y[~out], open_[f]))
+        chain.betas[name] = _fit_open(seen, y, open_[-1])
+        earlier = np.column_stack((earlier, unseen))
     return chain
 
 
@@ -127,32 +156,49 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
               .orderBy(hashed, "doc_id").limit(MOST_TRAINING))
     chosen = materialise(docs.sparkSession, chosen, "toxicity_sample")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return rows.join(broadcast_if(chosen, chosen.count(), MOST_TRAINING), "doc_id").withColumn(
+    one = rows.join(broadcast_if(chosen.select("doc_id"), chosen.count(), MOST_TRAINING), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    return one.join(chosen, "doc_id").withColumn(
         "fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
 
 
-def telling_terms(rows: DataFrame) -> tuple[str, ...]:
-    """The seed words, then the terms whose presence speaks most for a toxic document."""
+def telling_terms(rows: DataFrame) -> list[tuple[str, ...]]:
+    """The seed words, then the terms whose presence speaks most for a toxic document.
+
+    One list per fold, from the documents outside it, and last the list from all.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
     stems = F.array_distinct(F.transform(F.filter(F.col("words"), lambda w: F.length(w) > STEM),
                                          lambda w: F.concat(F.left(w, F.lit(STEM)), F.lit("*"))))
-    found = rows.select("toxic", words.alias("words")).select("toxic", F.explode(F.concat("words", stems)).alias("term"))
-    sizes = rows.agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
-    counts = found.groupBy("term").agg(F.sum("toxic").cast("double").alias("t"),
-                                       F.sum(1 - F.col("toxic")).cast("double").alias("c"))
-    counts = counts.where("t >= 2").withColumns({"nt": sizes.select("t").scalar(), "nc": sizes.select("c").scalar()})
-    pt, pc = F.col("t") / F.col("nt"), (F.col("c") + 0.5) / (F.col("nc") + 1)
-    both = (F.col("t") + F.col("c")) / (F.col("nt") + F.col("nc"))
-    ratio = F.col("t") * F.log(pt / both) + F.when(F.col("c") > 0, F.col("c") * F.log(pc / both)).otherwise(0.0)
-    top = (counts.where(pt > pc).withColumn("ratio", ratio)
-           .orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect())
+    found = rows.select("toxic", "fold", words.alias("words")).select(
+        "toxic", "fold", F.explode(F.concat("words", stems)).alias("term"))
+    sums = []
+    for f in range(FOLDS + 1):
+        inside = F.when(F.col("fold") != f, F.lit(1)).otherwise(F.lit(0)) if f < FOLDS else F.lit(1)
+        sums += [F.sum(inside * F.col("toxic")).cast("double").alias(f"t{f}"),
+                 F.sum(inside * (1 - F.col("toxic"))).cast("double").alias(f"c{f}")]
+    sizes = rows.agg(*sums).first()
+    counts = materialise(rows.sparkSession, found.groupBy("term").agg(*sums).where(f"t{FOLDS} >= 2"), "toxicity_terms")
+    tops = []
+    for f in range(FOLDS + 1):
+        nt, nc = sizes[f"t{f}"] or 0.0, sizes[f"c{f}"] or 0.0
+        t, c = F.col(f"t{f}"), F.col(f"c{f}")
+        pt, pc, both = t / F.lit(nt), (c + 0.5) / F.lit(nc + 1), (t + c) / F.lit(nt + nc)
+        ratio = t * F.log(pt / both) + F.when(c > 0, c * F.log(pc / both)).otherwise(0.0)
+        if nt:
+            tops.append(counts.where(t >= 2).where(pt > pc).select(F.lit(f).alias("list"), "term", ratio.alias("ratio"))
+                        .orderBy(F.desc("ratio"), "term").limit(TERMS))
+    # at most TERMS rows a list
+    top = sorted(reduce(DataFrame.unionAll, tops).collect(), key=lambda r: (-r["ratio"], r["term"])) if tops else []
     seeds = [w for s in SEEDS.values() for w in s]
-    return tuple(dict.fromkeys([*seeds, *(r["term"] for r in top)]))
+    return [tuple(dict.fromkeys([*seeds, *(r["term"] for r in top if r["list"] == f)])) for f in range(FOLDS + 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     rows = materialise(docs.sparkSession, training_rows(docs, labels), "toxicity_training")
-    words = telling_terms(rows)
+    lists = telling_terms(rows)
+    final = lists[-1]
+    words = tuple(dict.fromkeys([*final, *(w for ws in lists for w in ws)]))     # the final terms first
     blank = Chain(words)
 
     def run(batches):
@@ -167,13 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     table = rows.select("doc_id", "text", "toxic", "fold").mapInArrow(
         run, "doc_id bigint, toxic int, fold int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
     # row by row into one array: no list of numbers in between
-    x = np.zeros((len(table), len(words) + 1 + len(SEEDS)))
+    x = np.zeros((len(table), len(words) + 1 + len(SEEDS)), dtype=np.float32)
     for i, row in enumerate(table["x"]):
         x[i] = row
     toxic = table["toxic"].to_numpy(dtype=float)
     seeded = x[:, -len(SEEDS):] > 0
     targets = np.column_stack([*[toxic * seeded[:, i] for i in range(len(SEEDS))], toxic])
-    return fit_chain(words, x, targets, table["fold"].to_numpy())
+    chosen = np.array([[True, *map(set(ws).__contains__, words), *[True] * len(SEEDS)] for ws in lists])
+    chain = fit_chain(words, x, targets, table["fold"].to_numpy(), chosen, {name: own_words(words, name) for name in SEEDS})
+    # the final links use the final terms only: leave the columns of the others out
+    kept = np.r_[:len(final) + 1, len(words) + 1:len(words) + 1 + len(SEEDS) + len(CHAIN)]
+    return Chain(final, {name: beta[kept[kept < len(beta)]] for name, beta in chain.betas.items()}, chain.base)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
