@@ -104,10 +104,11 @@ def _fit_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return fit_logistic(x, y, np.ones(len(y)), ridge=RIDGE, steps=8)
 
 
-def _fit_open(x: np.ndarray, y: np.ndarray, open_: np.ndarray) -> np.ndarray:
-    """A link on the open columns of ``x``; the weights of the others are 0."""
-    beta = np.zeros(x.shape[1])
-    beta[open_] = _fit_link(x[:, open_].astype(float), y)
+def _fit_open(x: np.ndarray, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """A link on some rows, the open columns of ``x`` and the links before; the weights of other columns are 0."""
+    beta = np.zeros(x.shape[1] + earlier.shape[1])
+    used = np.r_[np.flatnonzero(open_), x.shape[1]:len(beta)]
+    beta[used] = _fit_link(np.hstack((x[np.ix_(rows, open_)], earlier[rows])), y[rows])
     return beta
 
 
@@ -131,17 +132,17 @@ def fit_chain(words: tuple[str, ...], x: np.ndarray, targets: np.ndarray, fold:
         return chain
     if chosen is None:
         chosen = np.ones((FOLDS + 1, x.shape[1]), dtype=bool)
-    earlier = np.zeros((len(x), 0))
+    n, earlier = x.shape[1], np.zeros((len(x), 0))
     for c, name in enumerate(CHAIN):
-        y, seen = targets[:, c], np.hstack((x, earlier))
-        own = chosen if hidden is None or name not in hidden else chosen & ~hidden[name]
-        open_ = np.hstack((own, np.ones((FOLDS + 1, c), dtype=bool)))
+        y = targets[:, c]
+        open_ = chosen if hidden is None or name not in hidden else chosen & ~hidden[name]
         unseen = np.zeros(len(y))
         for f in range(FOLDS):
             out = fold == f
             if out.any() and not out.all():
-                unseen[out] = _sigmoid(seen[out] @ _fit_open(seen[~out], y[~out], open_[f]))
-        chain.betas[name] = _fit_open(seen, y, open_[-1])
+                beta = _fit_open(x, earlier, y, ~out, open_[f])
+                unseen[out] = _sigmoid(x[out] @ beta[:n] + earlier[out] @ beta[n:])
+        chain.betas[name] = _fit_open(x, earlier, y, np.ones(len(y), dtype=bool), open_[-1])
         earlier = np.column_stack((earlier, unseen))
     return chain
 
@@ -209,18 +210,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
                     pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]),
                     pa.array(x.astype(np.float32).ravel()))], names=["doc_id", "toxic", "fold", "x"])
 
-    # bounded by MOST_TRAINING documents
+    # bounded by MOST_TRAINING documents, one row each; as Arrow, and one flat array of features
     table = rows.select("doc_id", "text", "toxic", "fold").mapInArrow(
-        run, "doc_id bigint, toxic int, fold int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    # row by row into one array: no list of numbers in between
-    x = np.zeros((len(table), len(words) + 1 + len(SEEDS)), dtype=np.float32)
-    for i, row in enumerate(table["x"]):
-        x[i] = row
-    toxic = table["toxic"].to_numpy(dtype=float)
+        run, "doc_id bigint, toxic int, fold int, x array<float>").toArrow()
+    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
+    toxic, fold = (table[c].to_numpy()[order] for c in ("toxic", "fold"))
+    x = np.zeros((len(order), len(words) + 1 + len(SEEDS)), dtype=np.float32)
+    places, at = np.argsort(order), 0
+    for part in table["x"].chunks:
+        x[places[at:at + len(part)]] = part.flatten().to_numpy().reshape(len(part), x.shape[1])
+        at += len(part)
+    del table
+    toxic = toxic.astype(float)
     seeded = x[:, -len(SEEDS):] > 0
     targets = np.column_stack([*[toxic * seeded[:, i] for i in range(len(SEEDS))], toxic])
     chosen = np.array([[True, *map(set(ws).__contains__, words), *[True] * len(SEEDS)] for ws in lists])
-    chain = fit_chain(words, x, targets, table["fold"].to_numpy(), chosen, {name: own_words(words, name) for name in SEEDS})
+    chain = fit_chain(words, x, targets, fold, chosen, {name: own_words(words, name) for name in SEEDS})
     # the final links use the final terms only: leave the columns of the others out
     kept = np.r_[:len(final) + 1, len(words) + 1:len(words) + 1 + len(SEEDS) + len(CHAIN)]
     return Chain(final, {name: beta[kept[kept < len(beta)]] for name, beta in chain.betas.items()}, chain.base)
