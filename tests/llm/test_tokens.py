@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from transitreach.llm import packing, tokenfiles
@@ -66,6 +67,20 @@ def test_token_files_round_trip(spark, odd, none, tmp_path):
     assert tokenfiles.token_digests(spark, path + "0").count() == 0
 
 
+def test_ties_of_doc_id_have_an_order_and_a_hot_doc_id_is_spread(spark, tmp_path):
+    rows = [(i % 5 if i % 3 else None, f"text {i % 97} " * (i % 7)) for i in range(2000)] + [(3, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # small ranges are joined otherwise
+    for k, seen in enumerate((docs.repartition(7), docs.orderBy(F.rand(5)))):
+        path = str(tmp_path / f"tokens{k}")
+        tokenfiles.write_tokens(seen, path, PATH)
+        out.append(sorted(map(tuple, tokenfiles.token_digests(spark, path).select("start", "n_tokens", "ids_crc32").collect())))
+        assert tokenfiles.read_tokens(spark, path).where("doc_id IS NULL").select("part").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+
+
 def check_packing(rows, ids, tiers=packing.TIERS):
     pieces, sequences, steps = defaultdict(list), defaultdict(list), defaultdict(dict)
     for r in rows:

@@ -8,15 +8,16 @@ have set sizes, and the writer adds page indexes.  A reader that wants the
 metadata only reads none of the ids, and a doc_id range reads only the row
 groups and pages that overlap it.
 
-The texts are range-partitioned by doc_id and encoded after that shuffle, so
+The texts are range-partitioned by doc_id and a hash of the text, so that a doc_id (or
+NULL) of many rows is spread over several ranges, and encoded after that shuffle, so
 each text is encoded once.  ``part`` is the range's number and ``part_start``
 the ids before the document within it; a document's place among all ids is that
 plus the ids of the parts before (``token_index``): one number per part is all
 that is summed across parts.
 
 Edge cases: a NULL text counts as empty and has the end id alone.  A NULL
-doc_id comes before all others.  Rows that repeat a doc_id follow one another in
-the order in which they come.  An empty table gives files without rows.  Extra
+doc_id comes before all others.  Rows that repeat a doc_id follow one another by
+the hash of their texts, then by the texts, whatever order they come in.  An empty table gives files without rows.  Extra
 columns are not written.
 """
 
@@ -42,8 +43,8 @@ DELTA_COLUMNS = ("doc_id", "part", "part_start", "n_tokens")
 
 def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """``SCHEMA`` rows, in ascending doc_id order from partition to partition."""
-    ordered = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+    ordered = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
+               .repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie"))
 
     def run(batches):
         part, start = TaskContext.get().partitionId(), 0
