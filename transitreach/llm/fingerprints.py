@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_of
-from .iblt import difference, encoded, let, peeled, sketch, subtracted
+from .iblt import encoded, let, peeled, peeled_difference, sketch, subtracted
 
 WHITE = r"[\x20\x09-\x0D]+"
 LONG = 24                    # code points of a word; longer runs count by code points
@@ -97,7 +97,7 @@ def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Colum
     """The digests (``k``) that only one version has; ``n`` is 1 for the first's, -1 for the second's."""
     def larger(times: int, salt: int) -> Column:
         size = F.greatest(F.lit(3 * CELLS), (F.size(a) + F.size(b)) * F.lit(times))
-        return let(size, lambda s: peeled(difference(a, b, s, salt, 2), s, salt, 2))
+        return let(size, lambda s: peeled_difference(a, b, s, salt, 2))
 
     only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(
         k.alias("k"), F.lit(n).alias("n")))
@@ -135,12 +135,14 @@ def _key() -> Column:
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, edited, next_keys``: each row's edited text and its successor's digests.
+    """``doc_id, text, keys, edited, next_keys``: each row's digests and edited text, its successor's digests.
 
     The edited text has the last third replaced by as much of the successor's
     beginning.  Only that beginning and the digests travel to the row.
     """
-    rows = docs.select(_key().alias("key"), "doc_id", text_of().alias("text"))
+    # digests are made once, before the shuffle that all joins read
+    rows = (docs.select(_key().alias("key"), "doc_id", text_of().alias("text"))
+            .withColumn("keys", digests(F.col("text"))))
     # the longest row of a doc_id sets how much its successor must lend
     wanted = rows.groupBy("key").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("most"))
     lend = (successors(docs).join(wanted, "key")
@@ -149,14 +151,14 @@ def versions(docs: DataFrame) -> DataFrame:
     # join and the last one read one and the same shuffle of the rows
     lent = (rows.join(lend, "key")
             .select("borrower", F.struct(F.expr("substring(text, 1, most)").alias("front"),
-                                         digests(F.col("text")).alias("keys"), "doc_id").alias("lent"))
+                                         "keys", "doc_id").alias("lent"))
             .groupBy("borrower").agg(F.min("lent").alias("low"))
             .select(F.col("borrower").alias("key"), F.col("low.front").alias("front"),
                     F.col("low.keys").alias("next_keys")))
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.expr("substring(front, 1, cut)"))
     return (rows.join(lent, "key").withColumn("cut", cut)
-            .select("doc_id", "text", edited.alias("edited"), "next_keys"))
+            .select("doc_id", "text", "keys", edited.alias("edited"), "next_keys"))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     n_paragraphs, n_differing`` (digests in one of text and edited text only)."""
     rows = versions(docs).select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
+        "keys", digests(F.col("edited")).alias("edited_keys"), "next_keys")
     for name in ("keys", "edited_keys", "next_keys"):
         rows = rows.withColumn(f"{name}_sketch", sketch(F.col(name), CELLS))
     own, edited, following = F.col("keys"), F.col("edited_keys"), F.col("next_keys")
