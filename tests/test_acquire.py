@@ -131,3 +131,15 @@ def test_walk_only_routes_are_kept_on_demand(spark):
     assert modes() == {("g1", "s1"): "WALKING", ("g1", "s2"): "-999", ("g2", "s1"): "-999", ("g2", "s2"): "-999"}
     assert modes(keep_walk_only=True)[("g2", "s1")] == "WALKING"
     assert modes(keep_walk_only=True)[("g2", "s2")] == "-999"       # a ride without times stays an error
+
+
+def test_request_plan_spreads_the_expansion_over_tasks(spark, monkeypatch):
+    from transitreach.plans import acquire
+
+    monkeypatch.setattr(acquire, "REQUESTS_PER_TASK", 100)
+    points = spark.range(60).select(F.col("id"), F.col("id").cast("double").alias("lat"),
+                                    F.col("id").cast("double").alias("lng"))
+    plan = request_plan(points, points)
+    assert plan.count() == 3600 and plan.select("request_id").distinct().count() == 3600
+    by_task = plan.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(by_task) > 20 and max(r["count"] for r in by_task) < 1000
