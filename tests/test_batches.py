@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from rows import DETAILS
 from transitreach.operators.validate import batch_coverage, error_pairs, od_stats
 from transitreach.sources.batches import load_batches
 
@@ -82,3 +83,29 @@ def test_coverage_and_validation(spark, batch_dir):
 def test_empty_directory_raises(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         load_batches(spark, str(tmp_path))
+
+
+def test_compressed_batches_are_read_and_named_like_plain_ones(spark, tmp_path):
+    import gzip
+
+    write(tmp_path / "morning_k1_0-63.csv", COLS, [[0, "x\ny", "g1", "s1", "WALKING"]])
+    plain = load_batches(spark, str(tmp_path)).collect()
+    other = tmp_path / "packed"
+    other.mkdir()
+    with gzip.open(other / "morning_k1_0-63.csv.gz", "wb") as fh:
+        fh.write((tmp_path / "morning_k1_0-63.csv").read_bytes())
+    assert load_batches(spark, str(other)).collect() == plain and plain[0]["source_coverage"] == 63
+
+
+def test_written_batches_take_far_less_than_their_text(spark, tmp_path):
+    from transitreach.sources.sinks import write_batch, write_batches
+
+    df = spark.range(2000).select(F.col("id").cast("string").alias("_c0"), F.lit(DETAILS).alias("transit_details"),
+                                  F.lit("morning_k1_0-63.csv").alias("source_filename"))
+    write_batches(df, str(tmp_path / "many"))
+    write_batch(df.drop("source_filename"), str(tmp_path / "one"), "morning", "k1", 0, 63)
+    for root in ("many", "one"):
+        stored = load_batches(spark, str(tmp_path / root))
+        assert stored.count() == 2000
+        assert {r["source_filename"] for r in stored.select("source_filename").distinct().collect()} == {"morning_k1_0-63.csv"}
+        assert sum(p.stat().st_size for p in (tmp_path / root).rglob("*") if p.is_file()) < 2000 * len(DETAILS) / 4

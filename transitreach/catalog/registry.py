@@ -116,8 +116,8 @@ def written_back(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def batch_folder(spark, d):
     """The raw rows written as the fetcher's batch CSV files (once per session)."""
     def write(path):
-        raw = R.raw(spark, d).select(*fx.RAW_COLUMNS, "source_filename")
-        SK.write_batches(raw.withColumnRenamed("l_number", B.INDEX_COLUMN), path)
+        raw = fx.raw_steps(spark, d, with_source=False, by_batch=True)
+        SK.write_batches(raw.withColumnRenamed("l_number", B.INDEX_COLUMN), path, clustered=True)
     return R.stored_folder(spark, d, "batches", write)
 
 
@@ -198,7 +198,7 @@ def q_preview(spark, d):
 @query("write_batch", with_ctes("raw") + f"SELECT {cols(RAW_COLS)} FROM raw")
 def q_write_batch(spark, d):
     root = scratch_path(spark, "write-batch")
-    raw = R.raw(spark, d)
+    raw = fx.raw_steps(spark, d)          # written by the sink alone: no stored copy beside it
     name = SK.write_batch(raw, root, "all", "key", 0, 126)
     return spark.read.parquet(f"{root}/{name}.parquet").select(*RAW_COLS)
 

@@ -27,6 +27,7 @@ from ..session import scratch_path
 BATCH_NAME = r"(.*)_(.*)_(.*)-(.*)\.csv"
 BATCH_GROUPS = r"^(.*)_([^_]*)_([^_]*)-([^-]*)\.csv"   # same groups as BATCH_NAME's first match
 NULL_TEXT = "NA"
+BATCH_FILES = "{*.csv,*.csv.gz}"               # as the fetcher writes them, or compressed
 INDEX_COLUMN = "_c0"                           # the unnamed index column
 BATCH_COLUMNS = (
     INDEX_COLUMN, "distance", "duration", "end_location", "html_instructions", "start_location",
@@ -79,9 +80,9 @@ def _schema_for(header: str) -> T.StructType:
 
 
 def list_batch_files(spark: SparkSession, path: str) -> list[str]:
-    """Data files under ``path`` whose batch name ends in ``.csv`` (unanchored, as listed)."""
+    """Data files under ``path`` whose batch name ends in ``.csv`` (``.csv.gz`` when compressed)."""
     probe = (spark.read.format("text").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.csv").load(path))
+             .option("pathGlobFilter", BATCH_FILES).load(path))
     return sorted(f for f in probe.inputFiles())
 
 
@@ -104,7 +105,7 @@ def read_batch_folder(spark: SparkSession, path: str, header: str) -> DataFrame:
     file path of a long list.
     """
     return (_csv_reader(spark, header).option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.csv").csv(path)
+            .option("pathGlobFilter", BATCH_FILES).csv(path)
             .withColumn("source_file", F.col("_metadata.file_path")))
 
 
@@ -123,6 +124,7 @@ def file_metadata(df: DataFrame, path_col: str = "source_file") -> DataFrame:
     folder_name = F.substring_index(folder, "=", -1)
     name = F.when(folder_name.endswith(".csv") & file_name.startswith("part-"), folder_name) \
             .otherwise(F.substring_index(file_name, "=", -1))
+    name = F.when(name.endswith(".csv.gz"), F.substring(name, F.lit(1), F.length(name) - 3)).otherwise(name)
     # one regex pass yields all four groups.  BATCH_GROUPS takes the same groups
     # as the greedy first match of BATCH_NAME (the later groups cannot hold the
     # separator that follows them), with far less backtracking

@@ -166,9 +166,15 @@ def batch_names(df: DataFrame) -> DataFrame:
         _s("source_start_index"), F.lit("-"), _s("source_end_index"), F.lit(".csv")))
 
 
-def raw_steps(spark: SparkSession, sf_dir: str, with_source: bool = True) -> DataFrame:
-    """Leg rows in the route fetcher's CSV schema: every value is text."""
-    f = leg_facts(spark, sf_dir)
+def raw_steps(spark: SparkSession, sf_dir: str, with_source: bool = True, by_batch: bool = False) -> DataFrame:
+    """Leg rows in the route fetcher's CSV schema: every value is text.
+
+    ``by_batch`` clusters and sorts the rows by batch name before their texts are made,
+    which are many times as wide as the values they come from.
+    """
+    f = batch_names(leg_facts(spark, sf_dir))
+    if by_batch:
+        f = f.hint("rebalance", "source_filename").sortWithinPartitions("source_filename")
     ln = F.col("l_linenumber")
     walking, failed = F.col("walking"), F.col("failed")
     sk, pk = F.lpad(_s(F.col("l_suppkey") % 10000), 4, "0"), F.lpad(_s(F.col("l_partkey") % 10000), 4, "0")
@@ -203,7 +209,7 @@ def raw_steps(spark: SparkSession, sf_dir: str, with_source: bool = True) -> Dat
     cols["depart_time"] = F.when(~F.col("is_morning"), F.concat(F.col("date_text"), F.lit(" 17:00:00 EST")))
     cols["arrival_time"] = F.when(F.col("is_morning"), F.concat(F.col("date_text"), F.lit(" 09:00:00 EST")))
     cols["transit_routing_preference"] = F.lit("standard")
-    out = batch_names(f.withColumns(cols))
+    out = f.withColumns(cols)
     if with_source:
         return out.select(*RAW_COLUMNS, *SOURCE_COLUMNS)
     return out.select(*RAW_COLUMNS, "source_filename")

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .batches import NULL_TEXT
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> str:
     (df.write.mode(mode).option("header", True).option("nullValue", NULL_TEXT)
-       .option("escape", '"').csv(path))
+       .option("escape", '"').option("compression", compression).csv(path))
     return path
 
 
@@ -29,23 +29,30 @@ def batch_name(run: str, client: str, start: int, end: int) -> str:
 
 
 def write_batch(df: DataFrame, root: str, run: str, client: str, start: int, end: int) -> str:
-    """One fetched batch: a CSV folder named like the fetcher's file, plus a Parquet copy."""
+    """One fetched batch: a CSV folder named like the fetcher's file, plus a Parquet copy.
+
+    Both are compressed: the dict texts repeat their keys in every row, so the plain CSV
+    is many times the size of the tables the rows come from.
+    """
     name = batch_name(run, client, start, end)
     copy = f"{root.rstrip('/')}/{name}.parquet"
-    df.write.mode("overwrite").parquet(copy)                 # computed once; the CSV is made from it
-    write_csv(df.sparkSession.read.schema(df.schema).parquet(copy), f"{root.rstrip('/')}/{name}.csv")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(copy)                 # computed once; the CSV is made from it
+    write_csv(df.sparkSession.read.schema(df.schema).parquet(copy), f"{root.rstrip('/')}/{name}.csv", compression="gzip")
     return name
 
 
-def write_batches(df: DataFrame, root: str, name_col: str = "source_filename") -> str:
+def write_batches(df: DataFrame, root: str, name_col: str = "source_filename", clustered: bool = False) -> str:
     """Many batches at once: one CSV folder per batch name, written by one job.
 
     Rows are first clustered by batch name, so a batch is one file (as the fetcher
     writes it) instead of one file per writing task and batch; a batch larger than
-    the advisory partition size is split over several tasks and files.
+    the advisory partition size is split over several tasks and files.  ``clustered`` rows
+    are so already (before their texts were made, say) and are not shuffled again.  The
+    files are compressed, as the dict texts repeat their keys in every row.
     """
-    (df.hint("rebalance", name_col).write.mode("overwrite").partitionBy(name_col).option("header", True)
-       .option("nullValue", NULL_TEXT).option("escape", '"').csv(root))
+    rows = df if clustered else df.hint("rebalance", name_col)
+    (rows.write.mode("overwrite").partitionBy(name_col).option("header", True)
+       .option("nullValue", NULL_TEXT).option("escape", '"').option("compression", "gzip").csv(root))
     return root
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..operators.legs import clean_legs
 from ..session import scratch_path
-from ..sources.batches import BATCH_COLUMNS, NULL_TEXT, load_files
+from ..sources.batches import BATCH_COLUMNS, BATCH_FILES, NULL_TEXT, load_files
 
 
 def batch_stream(spark: SparkSession, path: str, columns=BATCH_COLUMNS,
@@ -27,7 +27,7 @@ def batch_stream(spark: SparkSession, path: str, columns=BATCH_COLUMNS,
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     return (spark.readStream.schema(schema).option("header", True).option("escape", '"')
             .option("multiLine", True).option("nullValue", NULL_TEXT).option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", max_files_per_trigger)
+            .option("pathGlobFilter", BATCH_FILES).option("maxFilesPerTrigger", max_files_per_trigger)
             .csv(path)
             .withColumn("source_file", F.col("_metadata.file_path")))
 
