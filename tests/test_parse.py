@@ -4,7 +4,7 @@ import datetime as dt
 
 from rows import DETAILS, raw_frame, raw_row
 from transitreach.functions import parse as P
-from transitreach.operators.legs import clean_legs, parse_leg_rows
+from transitreach.operators.legs import clean_legs, nullify_sentinels, parse_leg_rows
 
 FIELDS = {
     "dep_stop": P.parse_dep_stop, "arr_stop": P.parse_arr_stop, "dep_time": P.parse_dep_time_text,
@@ -160,3 +160,17 @@ def test_python_text_without_token_rendering_equals_repr(spark):
     got = {r["i"]: r["p"] for r in df.select("i", P.python_text("t").alias("p")).collect()}
     assert got.pop(-1) is None
     assert {i: got[i] for i in got} == {i: repr(json.loads(t)) for i, t in enumerate(texts) if i in got}
+
+
+def test_agency_and_sentinels_are_read_once(spark):
+    raw = raw_frame(spark, [raw_row(), raw_row(duration="-999.0", distance="-999 m", l_number="-999")])
+    parsed = P.recode_agency("l_agency")
+    df = parse_leg_rows(raw)
+    assert {r["l_agency"] for r in df.select("l_agency").collect()} == {"MTA - NYC Subway"}
+    plan = df.select("l_agency")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("agencies(") == 1                    # nested CASEs repeated the extraction
+    names = ["MTA New York City Transit", "MTA", "NJ TRANSIT BUS", "MTA - NYC Bus", None, "LIRR"]
+    got = spark.createDataFrame([(n,) for n in names], "l_agency string").select(parsed).collect()
+    assert [r[0] for r in got] == ["MTA - NYC Subway", "MTA - NYC Bus", "NJ Transit Bus", "MTA - NYC Bus", None, "LIRR"]
+    clean = nullify_sentinels(raw).select("duration", "distance", "l_number").collect()
+    assert [tuple(r) for r in clean][1] == (None, "-999 m", None)
