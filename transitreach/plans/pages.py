@@ -4,12 +4,14 @@
 
 * ``rows``: the table with its position ``_place``, in position order, so that a page is a range of
   positions that file and row-group statistics find, page 10,000 as fast as page 1;
-* ``grams``: for each row the distinct trigrams of its columns' lower-cased texts, as (gram, position)
-  in folders by the gram's hash, sorted within, so that a search reads its own grams only.
+* ``grams``: for each block of ``BLOCK`` positions the distinct trigrams of its rows' lower-cased column
+  texts, as (gram, block) in folders by the gram's hash, sorted within, so that a search reads its own
+  grams only.  Columns repeat their texts within a block, so this is a small part of the
+  trigrams of every row.  They are written when a search first needs them.
 
-A search page is a key-set page: the first matches after a position.  Positions that have all
+A search page is a key-set page: the first matches after a position.  Blocks that have all
 trigrams of the search text are looked up window after window of positions, each twice as wide
-as the last, until the page is full, and are checked on the rows themselves.
+as the last, until the page is full, and their rows are checked themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ from .acquire import dense_index
 GRAM = 3
 FOLDERS = 64                  # of grams, by hash
 WINDOW = 1 << 16              # positions looked up first
+BLOCK = 1 << 10               # positions a gram is noted for
+
+
+def _block(place: Column) -> Column:
+    return F.shiftright(place, BLOCK.bit_length() - 1)
 
 
 def total_order(df: DataFrame, order_by: str | None, descending: bool) -> list[Column]:
@@ -54,15 +61,26 @@ def write_table_index(df: DataFrame, path: str, order_by: str | None = None, des
 
     Rows that are equal in every column stand next to each other in any order.
     """
-    spark = df.sparkSession
-    columns = df.columns
+    write_rows(df, path, order_by, descending)
+    write_grams(df.sparkSession, path)
+
+
+def write_rows(df: DataFrame, path: str, order_by: str | None = None, descending: bool = False) -> None:
     tie = df.withColumn("_tie", F.monotonically_increasing_id())
     placed = dense_index(tie, [*total_order(df, order_by, descending), F.col("_tie")], "_place").drop("_tie")
     placed.repartitionByRange("_place").sortWithinPartitions("_place").write.parquet(f"{path}/rows")
+
+
+def write_grams(spark: SparkSession, path: str) -> None:
+    """Write ``grams`` beside the ``rows`` in ``path``."""
     rows = spark.read.parquet(f"{path}/rows")
-    grams = rows.select("_place", F.explode(trigrams(_texts(columns))).alias("gram")).withColumn("folder", _folder(F.col("gram")))
-    (grams.repartitionByRange("folder", "gram", "_place").sortWithinPartitions("folder", "gram", "_place")
-     .write.partitionBy("folder").parquet(f"{path}/grams"))
+    texts = _texts([c for c in rows.columns if c != "_place"])
+    # a block's rows stand together: most equal texts and grams go before they are shuffled
+    texts = rows.select(_block(F.col("_place")).alias("block"), F.explode(texts).alias("text")).distinct()
+    grams = (texts.select("block", F.explode(trigrams(F.array("text"))).alias("gram")).distinct()
+             .withColumn("folder", _folder(F.col("gram"))))
+    (grams.repartition("folder").sortWithinPartitions("folder", "gram", "block")
+     .write.mode("overwrite").partitionBy("folder").parquet(f"{path}/grams"))
 
 
 @dataclass
@@ -86,11 +104,11 @@ class TableIndex:
             grams = sorted({text[i:i + GRAM] for i in range(len(text) - GRAM + 1)})
             folders = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "g string").select(
                 _folder(F.col("g"))).distinct().collect()]             # as many as the text has trigrams, at most
-            found = (self.spark.read.schema("_place bigint, gram string, folder int").parquet(f"{self.path}/grams")
+            found = (self.spark.read.schema("block bigint, gram string, folder int").parquet(f"{self.path}/grams")
                      .where(F.col("folder").isin(folders) & F.col("gram").isin(grams)
-                            & (F.col("_place") > after) & (F.col("_place") <= until))
-                     .groupBy("_place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)))
-            rows = rows.join(found.select("_place"), "_place", "left_semi")
+                            & (F.col("block") >= _block(F.lit(after + 1))) & (F.col("block") <= _block(F.lit(until))))
+                     .groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)))
+            rows = rows.join(found, _block(F.col("_place")) == F.col("block"), "left_semi")
         columns = [c for c in rows.columns if c != "_place"]
         return rows.where(F.exists(_texts(columns), lambda t: t.contains(F.lit(text))))
 

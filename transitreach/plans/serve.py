@@ -8,6 +8,7 @@ dashboard's memoised reactive values amount to.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +35,25 @@ class Tables:
 
 @dataclass
 class Selection:
-    schools: DataFrame
-    trips: DataFrame
-    legs: DataFrame
+    """The selected rows; each table is only asked for when an output reads it."""
+    tables: Tables
+    params: AccessParams
+
+    @cached_property
+    def schools(self) -> DataFrame:
+        return S.filter_institutions(self.tables.schools, self.params)
+
+    @cached_property
+    def trips(self) -> DataFrame:
+        return FL.filter_trips_params(self.tables.trips, self.schools, self.params)
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        return FL.filter_legs_params(self.tables.legs, self.schools, self.params)
 
 
 def select(t: Tables, p: AccessParams) -> Selection:
-    schools = S.filter_institutions(t.schools, p)
-    return Selection(schools=schools,
-                     trips=FL.filter_trips_params(t.trips, schools, p),
-                     legs=FL.filter_legs_params(t.legs, schools, p))
+    return Selection(t, p)
 
 
 def accessibility(t: Tables, p: AccessParams) -> DataFrame:
