@@ -135,6 +135,35 @@ def test_open_buckets_are_settled_in_linear_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted(brute_components(rows, 2, 80))
 
 
+def test_rows_of_buckets_pass_one_join_by_class(spark, monkeypatch):
+    """Shares and sizes come with the labels, and rows are dealt from a written table, not made anew for each use."""
+    import random
+    rng = random.Random(6)
+    passage = unlike(3, 50)
+    rows = [(i, " ".join(passage + [f"p{i}x{k}" for k in range(rng.randrange(4, 30))])) for i in range(60)]
+    links = near_dedup._Links(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 80)
+    opened, dealt, write, deal = [], [], near_dedup.materialise, near_dedup._Links._dealt
+
+    def written(session, df, name, files=None):
+        if name.startswith("near_open"):
+            opened.append(df)
+        return write(session, df, name, files)
+
+    def spied(self, table, block):
+        dealt.append(table)
+        return deal(self, table, block)
+
+    monkeypatch.setattr(near_dedup, "materialise", written)
+    monkeypatch.setattr(near_dedup._Links, "_dealt", spied)
+    links.leader_round(0)
+    _, apart = links.settle()
+    links.leader_round(1, apart)
+    links.close_families()
+    assert len(opened) >= 3 and {"share"} == {c for x in opened[:2] for c in x.columns} - {"key", "rep", "label", "size"}
+    assert dealt and all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in dealt)
+    assert all("n_shingles" in x.columns for x in opened[2:])
+
+
 def test_estimate_is_collision_corrected():
     import numpy as np
     rng = np.random.default_rng(1)

@@ -220,14 +220,18 @@ class _Links:
             self.labels = self._labelled(self.links, "near_labels")
         return new
 
-    def _open(self, labels: DataFrame) -> DataFrame:
-        """``key, rep, label, size`` in buckets of several labels."""
+    def _open(self, labels: DataFrame, *more: str) -> DataFrame:
+        """``key, rep, label, size`` in buckets of several labels, with the columns ``more`` of ``labels``.
+
+        A class lies in up to 32 buckets, so what is known of a class is joined to its one
+        row in ``labels``, and the rows of buckets pass this one join only.
+        """
         labels = broadcast_if(labels, self.members, MOST_BROADCAST_IDS)
         labelled = self.buckets.join(labels, F.col("rep") == F.col("node")).select(
-            "key", "rep", F.col("component").alias("label"))
+            "key", "rep", F.col("component").alias("label"), *more)
         several = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                F.count(F.lit(1)).alias("size")).where("lo <> hi"))
-        return labelled.join(several, "key").select("key", "rep", "label", "size")
+        return labelled.join(several, "key").select("key", "rep", "label", "size", *more)
 
     def leader_round(self, number: int, apart: DataFrame | None = None) -> int:
         """Compare each bucket's members with one leader of another component.
@@ -236,10 +240,10 @@ class _Links:
         ``apart``) is smallest, or without that one by a hash that changes from round to round.
         """
         salt = F.lit((0x9E3779B97F4A7C1 * number) & 0x7FFFFFFFFFFFFFFF)      # round 0: the smallest
-        opened = materialise(self.spark, self._open(self.labels), f"near_open_{number}", self.bucket_files)
-        ranked = opened.withColumn("share", F.lit(0.0)) if apart is None else opened.join(
-            broadcast_if(apart.select("rep", "share"), self.members, MOST_BROADCAST_IDS), "rep")
-        leaders = (ranked.groupBy("key").agg(F.min(F.struct("share", F.col("rep").bitwiseXOR(salt).alias("r"))).alias("least"))
+        ranked = self.labels.withColumn("share", F.lit(0.0)) if apart is None else self.labels.join(
+            broadcast_if(apart.select(F.col("rep").alias("node"), "share"), self.members, MOST_BROADCAST_IDS), "node")
+        opened = materialise(self.spark, self._open(ranked, "share"), f"near_open_{number}", self.bucket_files)
+        leaders = (opened.groupBy("key").agg(F.min(F.struct("share", F.col("rep").bitwiseXOR(salt).alias("r"))).alias("least"))
                    .select("key", F.col("least.r").bitwiseXOR(salt).alias("leader"))
                    .join(self.labels.select(F.col("node").alias("leader"), F.col("component").alias("own")), "leader"))
         pairs = opened.join(leaders, "key").where("label <> own").select("rep", "leader").distinct()
@@ -310,8 +314,9 @@ class _Links:
         """Join families until no bucket holds a pair of two families that passes the bit-count test."""
         while True:
             self.families = self._labelled(self.near.unionByName(self.links), "near_families")
-            sizes = self.planes.select(F.col("id").alias("rep"), "n_shingles")
-            rest = self._open(self.families).join(broadcast_if(sizes, self.members, MOST_BROADCAST_IDS), "rep")
+            sizes = self.planes.select(F.col("id").alias("node"), "n_shingles")
+            sized = self.families.join(broadcast_if(sizes, self.members, MOST_BROADCAST_IDS), "node")
+            rest = materialise(self.spark, self._open(sized, "n_shingles"), "near_open_families", self.bucket_files)
             outside, every = (side.join(self.planes.drop("n_shingles"), F.col("rep") == F.col("id")).drop("id")
                               for side in self._dealt(rest, BLOCK))
             x, y = outside.alias("x"), every.alias("y")
