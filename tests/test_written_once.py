@@ -9,7 +9,7 @@ from rows import raw_frame, raw_row
 from transitreach.catalog import roles as R
 from transitreach.functions.columns import join_null_safe
 from transitreach.operators.legs import clean_legs
-from transitreach.operators.trips import build_trips, distinct_trips, flatten_trips
+from transitreach.operators.trips import build_trips, distinct_trips, flatten_trips, trips_of_rows
 from transitreach.params import AccessParams
 from transitreach.plans import pages as PG
 from transitreach.plans import serve as SV
@@ -100,3 +100,27 @@ def test_grams_are_noted_by_block_and_only_for_searches(spark, tmp_path):
     assert spark.read.parquet(f"{path}/grams").where("gram = 'lin'").count() == 3
     last = index.page_after("ine 4", 2 * PG.BLOCK, 2).collect()
     assert [r["id"] for r in last] == [i for i in range(2 * PG.BLOCK + 1, n) if i % 5 == 4][:2]
+
+
+def test_trips_of_rows_parse_rows_once(raw, tmp_path):
+    """Without written legs: the trips of the legs, from one read of the rows and without a join."""
+    odd = raw.unionByName(raw_frame(raw.sparkSession, [
+        raw_row(l_number="8", actual_arrival="11:59 PM"),                # too long: its minutes count, its legs do not
+        raw_row(destination="190009", travel_mode="-999"), raw_row(destination="190009"),
+        raw_row(destination="190010", actual_departure="-999"), raw_row(destination="190011", duration="-999")]))
+    for name, rows in (("rows", raw), ("odd", odd)):
+        path = str(tmp_path / name)
+        rows.write.parquet(path)
+        stored = raw.sparkSession.read.parquet(path)
+        got, want = trips_of_rows(stored), build_trips(clean_legs(stored))
+        assert got.dtypes == want.dtypes and rows_of(got) == rows_of(want) and got.count()
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_stored_trips_make_no_legs(raw, monkeypatch):
+    scans = []
+    monkeypatch.setattr(R, "raw", lambda spark, d: raw)
+    monkeypatch.setattr(R, "_stored", lambda spark, d, name, build, **layout: scans.append(build()) or scans[-1])
+    R.trips(raw.sparkSession, "/no/such/folder")
+    assert scans[0]._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
