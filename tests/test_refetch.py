@@ -6,6 +6,7 @@ import pytest
 
 from transitreach.operators import refetch as RF
 from transitreach.operators import validate as V
+from transitreach.session import SHUFFLE_CLEANUP, shuffle_files_dropped
 from transitreach.streaming.refetch import better_fetches, latest_versions
 
 SCHEMA = "origin string, destination string, source_run string, source_filename string, request_time string, duration string, l_number string"
@@ -86,3 +87,29 @@ def test_ledger_follows_the_files(spark, tmp_path):
         every = spark.createDataFrame(seen, SCHEMA)
         assert ledger.od_stats().collect() == V.od_stats(every).collect()
         assert ledger.error_pairs().collect() == V.error_pairs(every).collect()
+
+
+def test_ledger_makes_no_folder_for_each_file(spark, tmp_path):
+    """A delivery of many files is one folder, and a file that comes again with fewer pairs loses the others."""
+    path = tmp_path / "ledger"
+    ledger = RF.PairLedger(spark, str(path))
+
+    def stack(names, pairs, duration):
+        return spark.createDataFrame([(f"o{p}", f"d{n}", "morning", n, None, duration, "0") for n in names for p in range(pairs)],
+                                     SCHEMA).coalesce(2)
+
+    names = [f"f{k}" for k in range(40)] + [None]
+    ledger.add(stack(names, 3, RF.FAILED))
+    assert len([p for p in path.rglob("*") if p.is_dir()]) == 2 and len([*path.rglob("*.parquet")]) <= 8
+    ledger.add(stack(["f1", None], 1, "{'value': 1}"))
+    ledger.add(stack(["f41"], 2, RF.FAILED))
+    assert ledger.pairs().count() == 39 * 3 + 2 + 2
+    assert [tuple(r)[:2] for r in ledger.error_pairs().collect()] == [(39 * 3 + 2, 39 * 3 + 2 + 2)]
+
+
+def test_a_write_drops_shuffle_files_and_gives_the_setting_back(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    with pytest.raises(ValueError), shuffle_files_dropped(spark):
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+        raise ValueError
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rows import raw_frame, raw_row
 from transitreach.catalog import roles as R
+from transitreach.catalog.registry import QUERIES
 from transitreach.functions.columns import join_null_safe
 from transitreach.operators.legs import clean_legs
 from transitreach.operators.trips import build_trips, distinct_trips, flatten_trips, trips_of_rows
@@ -124,3 +125,24 @@ def test_stored_trips_make_no_legs(raw, monkeypatch):
     monkeypatch.setattr(R, "_stored", lambda spark, d, name, build, **layout: scans.append(build()) or scans[-1])
     R.trips(raw.sparkSession, "/no/such/folder")
     assert scans[0]._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+
+
+def written(spark, folder, name, monkeypatch):
+    """The tables that a query writes in a new session, and its plan with sort-merge joins."""
+    names, store = [], R._stored
+    monkeypatch.setattr(R, "_STORED", {})
+    monkeypatch.setattr(R, "_READ", set())
+    monkeypatch.setattr(R, "_stored", lambda s, d, table, *rest, **layout: names.append(table) or store(s, d, table, *rest, **layout))
+    df = QUERIES[name][0](spark, folder)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return set(names), df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ledger_makes_only_the_texts_it_reads(spark, sf_small, monkeypatch):
+    names, _ = written(spark, sf_small, "od_stats_merged", monkeypatch)
+    assert names == {"joined_legs"}
+    stored = spark.read.parquet(R._STORED[R._stored_key(spark, sf_small, "joined_legs")][0])
+    assert "transit_details" not in stored.columns and stored.count() == R.raw(spark, sf_small).count()

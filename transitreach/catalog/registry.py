@@ -31,7 +31,7 @@ from ..plans import cube as CB
 from ..plans import pages as PG
 from ..plans import serve as SV
 from ..plans import sql_functions as SQ
-from ..session import scratch_path
+from ..session import scratch_path, shuffle_files_dropped
 from ..sources import batches as B
 from ..sources import fixtures as fx
 from ..sources import shapefile as SHP
@@ -837,7 +837,8 @@ def pair_ledger(spark, d):
     def write(path):
         ledger, raw = RF.PairLedger(spark, path), R.raw(spark, d)
         for b in [*range(LEDGER_BATCHES), 0]:
-            ledger.add(raw.where(F.pmod(F.xxhash64("source_filename"), F.lit(LEDGER_BATCHES)) == b))
+            with shuffle_files_dropped(spark):
+                ledger.add(raw.where(F.pmod(F.xxhash64("source_filename"), F.lit(LEDGER_BATCHES)) == b))
     return RF.PairLedger(spark, R.stored_folder(spark, d, "pair_ledger", write))
 
 

@@ -10,8 +10,10 @@ and counts over it, so they follow each arriving file without reading any legs a
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from . import validate as V
 
 PAIR = ("origin", "destination", "source_run")
 FAILED = "-999"
+LEDGER_SCHEMA = ("source_filename string, origin string, destination string, n_failed bigint, n_unknown bigint, "
+                 "delivery bigint, added string")
 REQUEST_TEXT = "MM/dd/yyyy HH:mm:ss"          # the text before the zone
 
 
@@ -50,7 +54,11 @@ def best_fetch(stack: DataFrame) -> DataFrame:
 
 @dataclass
 class PairLedger:
-    """Pair states per batch file in the folder ``path``; a file delivered again replaces its own."""
+    """Pair states per batch file in the folder ``path``; a file delivered again replaces its own.
+
+    Each delivery is one folder with the states of all its files, not a folder per file: a batch may
+    bring a hundred thousand files.  What counts of a file are the states of its latest delivery.
+    """
 
     spark: SparkSession
     path: str
@@ -58,13 +66,28 @@ class PairLedger:
     def add(self, stack: DataFrame) -> None:
         states = stack.groupBy("source_filename", "origin", "destination").agg(
             F.count_if(F.col("duration") == FAILED).alias("n_failed"), F.count_if(F.col("duration").isNull()).alias("n_unknown"))
-        (states.repartition("source_filename").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("source_filename").parquet(self.path))
+        # the second name keeps deliveries apart that two jobs add at the same time
+        states.write.parquet(f"{self.path}/delivery={max(self._deliveries(), default=0) + 1}/added={uuid.uuid4().hex[:12]}")
+
+    def _deliveries(self) -> list[int]:
+        try:
+            files = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path).inputFiles()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return [int(f) for f in {f.rpartition("/delivery=")[2].partition("/")[0] for f in files}]
 
     def pairs(self) -> DataFrame:
         """``origin, destination, n_failed, n_unknown`` over all files."""
-        states = self.spark.read.schema(
-            "origin string, destination string, n_failed bigint, n_unknown bigint, source_filename string").parquet(self.path)
+        states = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+        if len(set(self._deliveries())) > 1:
+            # files in several deliveries are few; of the others every state counts, without a join of them all
+            given = F.struct("delivery", "added")
+            again = (states.groupBy("source_filename").agg(F.max(given).alias("_last"), F.min(given).alias("_first"))
+                     .where(F.col("_first") < F.col("_last")).select("source_filename", "_last"))
+            states = join_null_safe(states, again, ["source_filename"], "left").where(
+                F.col("_last").isNull() | (given == F.col("_last")))
         return states.groupBy("origin", "destination").agg(F.sum("n_failed").alias("n_failed"), F.sum("n_unknown").alias("n_unknown"))
 
     def od_stats(self) -> DataFrame:

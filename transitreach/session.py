@@ -1,12 +1,14 @@
 """Session helpers.
 
-Library functions never change session settings; they work under the
+Library functions never change session settings (but for the time of a write,
+``shuffle_files_dropped``); they work under the
 defaults of Spark 4 (ANSI mode on, AQE on).  ``get_session`` is only a
 convenience for tests, the bench and local runs.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -28,6 +30,8 @@ LOCAL_CONF = {
     "spark.sql.sources.parallelPartitionDiscovery.threshold": "4096",
 }
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def is_local(master: str | None) -> bool:
     """Whether tasks run in the driver's process (``local``, ``local[8]``; not ``local-cluster``)."""
@@ -78,6 +82,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """Within it, a finished job's shuffle files go at once, not when the driver happens to collect its garbage.
+
+    For writing tables: they are read back, so nothing asks for those files again.  The session has its own
+    setting back afterwards.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python-side code can open a local path."""
     if path.startswith("file://"):
@@ -87,4 +109,4 @@ def local_path(path: str) -> str:
     return path
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "local_path", "LOCAL_CONF"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "shuffle_files_dropped", "local_path", "LOCAL_CONF"]

@@ -68,8 +68,12 @@ def _vehicle(ln: Column, which: int) -> Column:
     return out
 
 
-def leg_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item with the plain values every leg column derives from."""
+FACT_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                "l_returnflag", "p_type", "p_brand", "o_orderdate", "leg_index")
+
+
+def joined_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item with its part and order and its place in the order (``FACT_COLUMNS``)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate")
@@ -77,15 +81,20 @@ def leg_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     df = (li.join(part, li.l_partkey == part.p_partkey)
             .join(orders, li.l_orderkey == orders.o_orderkey))
-    k = F.col("l_orderkey")
     order_legs = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return df.withColumn("leg_index", F.row_number().over(order_legs) - 1).select(*FACT_COLUMNS)
+
+
+def leg_facts(spark: SparkSession, sf_dir: str, joined: DataFrame | None = None) -> DataFrame:
+    """``joined_legs`` (or what was stored of it) with the plain values every leg column derives from."""
+    df = joined_legs(spark, sf_dir) if joined is None else joined
+    k = F.col("l_orderkey")
     df = df.withColumns({
         "pair": F.floor(k / 2).cast("bigint"),
         "is_morning": (k % 2) == 0,
         "failed": (k % FAILED_EVERY) == 0,
         "walking": F.col("l_returnflag") == F.lit("A"),
-        "leg_index": F.row_number().over(order_legs) - 1,
         "trip_minutes": F.lit(20) + (k * 7) % 90,
     })
     df = df.withColumns({
@@ -166,13 +175,14 @@ def batch_names(df: DataFrame) -> DataFrame:
         _s("source_start_index"), F.lit("-"), _s("source_end_index"), F.lit(".csv")))
 
 
-def raw_steps(spark: SparkSession, sf_dir: str, with_source: bool = True, by_batch: bool = False) -> DataFrame:
+def raw_steps(spark: SparkSession, sf_dir: str, with_source: bool = True, by_batch: bool = False,
+              joined: DataFrame | None = None) -> DataFrame:
     """Leg rows in the route fetcher's CSV schema: every value is text.
 
     ``by_batch`` clusters and sorts the rows by batch name before their texts are made,
-    which are many times as wide as the values they come from.
+    which are many times as wide as the values they come from.  ``joined``: stored rows of ``joined_legs``.
     """
-    f = batch_names(leg_facts(spark, sf_dir))
+    f = batch_names(leg_facts(spark, sf_dir, joined))
     # both are written twice, plainly and in the transit details
     f = f.withColumns({"dep_clock": _clock(F.col("dep_minute")), "arr_clock": _clock(F.col("arr_minute"))})
     if by_batch:
