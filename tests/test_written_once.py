@@ -141,6 +141,12 @@ def written(spark, folder, name, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_trip_transfers_write_neither_texts_nor_legs_and_join_nothing(spark, sf_small, monkeypatch):
+    names, plan = written(spark, sf_small, "trip_transfers", monkeypatch)
+    assert names == {"joined_legs"}
+    assert "Join" not in plan and plan.count("FileScan") == 1
+
+
 def test_ledger_makes_only_the_texts_it_reads(spark, sf_small, monkeypatch):
     names, _ = written(spark, sf_small, "od_stats_merged", monkeypatch)
     assert names == {"joined_legs"}

@@ -895,7 +895,7 @@ def q_trip_travel_minutes(spark, d):
 @query("trip_transfers", with_ctes("legs") +
        "SELECT odid, run, COUNT(*) FILTER (WHERE l_mode = 'TRANSIT') - 1 AS t_transfer FROM legs GROUP BY odid, run")
 def q_trip_transfers(spark, d):
-    return L.trip_transfers(R.legs(spark, d))
+    return L.trip_transfers(R.legs_to_read(spark, d))
 
 
 @query("line_shares", shares_sql(R.P_DEFAULT, "SELECT * FROM top"))

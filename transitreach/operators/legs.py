@@ -6,7 +6,7 @@ projection.  The two trip-level quantities -- total leg minutes per
 computed with windows over raw legs: a window holds a whole key group in one
 task, and one pair may carry a large share of the rows.  Instead the legs are
 pre-aggregated map-side to one row per (odid, origin, destination, run), the
-small per-trip table is windowed, and the result is joined back on the four
+small per-trip table is windowed, and the result is joined back on the trip's
 keys (AQE splits a hot key on the big side, or broadcasts the per-trip side
 when its measured size is small).
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..functions.columns import extract_or_null, join_null_safe, try_cast
+from ..functions.columns import extract_or_null, try_cast
 
 MAX_TRIP_MINUTES = 100
 TRIP_KEYS = ("odid", "origin", "destination", "run")
@@ -28,6 +28,14 @@ RAW_PARSED_COLUMNS = (
     "transit_routing_preference", "total_time", "depart_time", "arrival_time",
     "end_location", "start_location", "distance", "duration",
 )
+# columns of a kept leg that follow from its others
+AFTER_JOIN = {
+    "odid": lambda: P.make_odid("origin", "destination", "source_run"),
+    "school_id": lambda: P.orient_school("origin", "destination", "source_run"),
+    "geoid": lambda: P.orient_geoid("origin", "destination", "source_run"),
+    "t_time": lambda: P.minutes_between("t_departure", "t_arrival"),
+    "source_t_set_date": lambda: P.set_date_text("source_t_set"),
+}
 # helper columns dropped before the legs table is returned
 HELPER_COLUMNS = (
     "l_instructions", "l_arr_time", "l_dep_time", "l_lat_dep", "l_lon_dep", "l_lat_arr",
@@ -105,28 +113,32 @@ def parse_leg_rows(raw: DataFrame, roll_midnight: bool = False) -> DataFrame:
 
 
 def trip_level_values(parsed: DataFrame, max_minutes: float = MAX_TRIP_MINUTES) -> DataFrame:
-    """One row per (odid, origin, destination, run) with ``t_travelmins`` and ``t_transfer``.
+    """One row per trip (``_trip``: origin, destination and run) with ``t_travelmins`` and ``t_transfer``.
 
     ``t_travelmins = round(sum(l_travelmins), 0)`` over (odid, origin, destination) on
     all rows; ``t_transfer = sum(l_mode == 'TRANSIT') - 1`` over (odid, run) on the
     rows kept by ``t_time < max_minutes`` (NULL when a kept row has no mode).
-    Sums are DECIMAL so the order of partial sums cannot move a .5 tie.
+    Sums are DECIMAL so the order of partial sums cannot move a .5 tie.  The small rows are brought
+    together by pair once, for both windows; the last grouping changes no row but tells the planner
+    that the keys are unique, so that a join on them goes where neither value is read.
     """
     kept = F.col("t_time") < F.lit(max_minutes)
     sub = parsed.groupBy(*TRIP_KEYS).agg(
         F.sum(F.col("l_travelmins").cast("decimal(12,2)")).alias("_mins"),
         F.count_if(kept & (F.col("l_mode") == F.lit("TRANSIT"))).alias("_transit"),
         F.count_if(kept & F.col("l_mode").isNull()).alias("_nomode"),
-    )
+    ).repartition("odid")
     w_pair = Window.partitionBy("odid", "origin", "destination")
     w_run = Window.partitionBy("odid", "run")
-    return sub.select(
+    values = sub.select(
         *TRIP_KEYS,
         F.bround(F.coalesce(F.sum("_mins").over(w_pair), F.lit(0).cast("decimal(12,2)")), 0)
          .cast("double").alias("t_travelmins"),
         F.when(F.sum("_nomode").over(w_run) > 0, F.lit(None).cast("long"))
          .otherwise(F.sum("_transit").over(w_run) - F.lit(1)).alias("t_transfer"),
     )
+    return values.groupBy(F.struct("origin", "destination", F.col("run").alias("source_run")).alias("_trip")).agg(
+        F.first("t_travelmins").alias("t_travelmins"), F.first("t_transfer").alias("t_transfer"))
 
 
 def clean_legs(raw: DataFrame, max_minutes: float = MAX_TRIP_MINUTES,
@@ -137,7 +149,12 @@ def clean_legs(raw: DataFrame, max_minutes: float = MAX_TRIP_MINUTES,
     parsed = parse_leg_rows(raw, roll_midnight=roll_midnight).where(F.col("run").isNotNull())
     per_trip = trip_level_values(parsed, max_minutes)
     kept = parsed.where(F.col("t_time") < F.lit(max_minutes))
-    legs = join_null_safe(kept, per_trip, TRIP_KEYS, "left")
+    # plain equality is null-safe here: structs compare NULL fields as equal.  The pair id follows from the
+    # other keys; it and what else follows from kept columns is made again after the join, not shuffled
+    legs = kept.drop("run", *AFTER_JOIN).join(
+        per_trip, F.struct("origin", "destination", "source_run") == F.col("_trip"), "left").drop("_trip")
+    legs = legs.withColumn("run", F.col("source_run")).withColumns({c: make() for c, make in AFTER_JOIN.items()})
+    legs = legs.select(*kept.columns, "t_travelmins", "t_transfer")
     legs = legs.withColumns({
         "t_waitmins": F.col("t_set_actual") - F.col("t_travelmins"),
         "t_waiting": F.col("t_time") - F.col("t_travelmins"),
