@@ -152,3 +152,16 @@ def test_ledger_makes_only_the_texts_it_reads(spark, sf_small, monkeypatch):
     assert names == {"joined_legs"}
     stored = spark.read.parquet(R._STORED[R._stored_key(spark, sf_small, "joined_legs")][0])
     assert "transit_details" not in stored.columns and stored.count() == R.raw(spark, sf_small).count()
+
+
+def shuffled_legs(plan):
+    """The columns of the legs' side of the join, as the step below its exchange makes them."""
+    lines = plan.split("\n")
+    return lines[1 + next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(struct(origin" in line)]
+
+
+def test_transit_legs_are_not_written_and_shuffle_no_derived_columns(spark, sf_small, monkeypatch):
+    names, plan = written(spark, sf_small, "filter_transit", monkeypatch)
+    assert names == {"joined_legs"}
+    side = shuffled_legs(plan)
+    assert "l_dep_stop" in side and not any(f"AS {c}#" in side for c in ("odid", "school_id", "geoid", "run", "t_time"))
