@@ -165,3 +165,9 @@ def test_transit_legs_are_not_written_and_shuffle_no_derived_columns(spark, sf_s
     assert names == {"joined_legs"}
     side = shuffled_legs(plan)
     assert "l_dep_stop" in side and not any(f"AS {c}#" in side for c in ("odid", "school_id", "geoid", "run", "t_time"))
+
+
+def test_trips_of_read_legs_write_no_legs_and_parse_no_texts_for_them(spark, sf_small, monkeypatch):
+    names, plan = written(spark, sf_small, "build_trips", monkeypatch)
+    assert names == {"joined_legs"}
+    assert "l_vehicle" in shuffled_legs(plan) and "departure_stop(" not in plan
