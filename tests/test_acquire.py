@@ -143,3 +143,19 @@ def test_request_plan_spreads_the_expansion_over_tasks(spark, monkeypatch):
     assert plan.count() == 3600 and plan.select("request_id").distinct().count() == 3600
     by_task = plan.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(by_task) > 20 and max(r["count"] for r in by_task) < 1000
+
+
+def test_a_task_of_the_request_plan_takes_few_origins(spark, monkeypatch):
+    from transitreach.plans import acquire
+
+    for name, value in (("REQUESTS_PER_TASK", 100), ("POSITION_BLOCK", 12), ("POSITION_RUN", 4)):
+        monkeypatch.setattr(acquire, name, value)
+    points = spark.range(50).select(F.col("id"), F.col("id").cast("double").alias("lat"), F.col("id").cast("double").alias("lng"))
+    rows = request_plan(points, points).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["request_id"] for r in rows) == [*range(1, 2501)]
+    assert all(r["request_id"] == r["destination"] * 50 + r["origin"] + 1 for r in rows)
+    of = {}
+    for r in rows:
+        of.setdefault(r["task"], []).append(r["origin"] // 4)
+    assert len(of) == 25 and max(map(len, of.values())) <= 200
+    assert all(len(set(x)) <= 6 and x == sorted(x) for x in of.values())     # whole runs, one after the other
